@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablestore.llm import mixing, rules, sharding, urls
+from tablestore.llm import mixing, rules, scoring, sharding, substring, urls
 
 #: Host, path, verdict of the url rules.
 URL_RULES = [
@@ -21,11 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"), scoring.in_training(F.col("doc_id")))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge(table(spark, sf_dir, "pages"), listed)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedupe(table(spark, sf_dir, "documents")).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -42,7 +50,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op3_url_filters": op3_url_filters,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,

@@ -92,3 +92,44 @@ def mix_key(seed):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def bigram_scores(rows, prior):
+    """rows: (id, text). id -> (held_out, n_tokens, n_known, train_tokens, base_score, score)."""
+    from math import log10
+
+    def tokens(text):
+        return [*("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in WORD.findall(text or "")), None]
+
+    learn = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows}
+    words, pairs, starts = Counter(), Counter(), 0
+    for i, t in rows:
+        if learn[i]:
+            w = tokens(t)
+            words.update(w)
+            pairs.update(zip(["start of text"] + [(x,) for x in w[:-1]], w))
+            starts += 1
+    total, distinct = sum(words.values()), len(words)
+    out = {}
+    for i, t in rows:
+        w = tokens(t)
+        base = score = 0.0
+        for before, x in zip(["start of text"] + [(y,) for y in w[:-1]], w):
+            p = (words[x] + 1) / (total + distinct + 1)
+            c = starts if isinstance(before, str) else words[before[0]]
+            base += log10(p)
+            score += log10((pairs[before, x] + prior * p) / (c + prior))
+        out[i] = (not learn[i], len(w), sum(words[x] > 0 for x in w), total, base, score)
+    return out
+
+
+def repeated_windows(rows, window):
+    """rows: (id, text). id -> (n_words, n_removed, kept_sha256)."""
+    texts = [(i, WORD.findall(t or "")) for i, t in rows]
+    seen = Counter(tuple(w[k:k + window]) for _, w in texts for k in range(len(w) - window + 1))
+    out = {}
+    for i, w in texts:
+        gone = {k + j for k in range(len(w) - window + 1) if seen[tuple(w[k:k + window])] > 1 for j in range(window)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    return out
