@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablestore.llm import mixing, rules, scoring, sharding, substring, urls
+from tablestore.llm import mixing, neardup, rules, scoring, sharding, substring, urls
 
 #: Host, path, verdict of the url rules.
 URL_RULES = [
@@ -25,6 +25,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(table(spark, sf_dir, "documents"), scoring.in_training(F.col("doc_id")))
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge(table(spark, sf_dir, "pages"), listed)
@@ -51,6 +55,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_simhash_dedup": op2_simhash_dedup,
     "op3_url_filters": op3_url_filters,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
