@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablestore.llm import mixing, neardup, rules, scoring, sharding, substring, urls
+from tablestore.llm import bpe, mixing, neardup, rules, scoring, sharding, substring, urls
 
 #: Host, path, verdict of the url rules.
 URL_RULES = [
@@ -17,6 +19,16 @@ URL_RULES = [
 ]
 
 
+#: The tokenizer file, by the name that the public_tokenizers package knows; any path can take its place.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,6 +46,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), listed)
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = Path(tokenizer_path()).read_text(encoding="utf-8")
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedupe(table(spark, sf_dir, "documents")).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -57,6 +74,7 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_url_filters": op3_url_filters,
+    "op5_bpe": op5_bpe,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,

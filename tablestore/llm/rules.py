@@ -100,5 +100,8 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rat
     two = docs.select(F.col(text).alias(text_copy), F.col(host).alias(host_copy))
     judged = with_metrics(two, text_copy).select(host_copy, "base_failed")
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias(text_copy), F.col(host).alias(host_copy))
-    kept = with_verdicts(with_metrics(whole, text_copy), judged, host_copy, max_rate)
-    return kept.where("kept").select("row.*")
+    # a filter is not pushed below a nondeterministic column: it would repeat the metrics' expressions many times
+    bar = fresh("bar")
+    metrics = with_metrics(whole, text_copy).select("row", host_copy, "base_failed", F.monotonically_increasing_id().alias(bar))
+    kept = with_verdicts(metrics, judged, host_copy, max_rate)
+    return kept.where(F.col("kept") & (F.col(bar) >= 0)).select("row.*")
