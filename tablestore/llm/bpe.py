@@ -17,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: the public pattern that cuts text into pieces before byte-level merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -205,7 +206,8 @@ def encode(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "te
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.struct(F.col(id).alias("id"), *(F.col(c) for c in carry)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
+    kind = T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
+                         *[T.StructField("token_ids", T.ArrayType(T.IntegerType()))] * with_ids])
 
     def run(batches):
         voc = load(shared.value)

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablestore.llm import blocks
 from tablestore.llm.common import ensure_checkpoint_dir, parts_for, text_bytes
@@ -277,7 +278,7 @@ class FingerprintIndex:
         kept_text is the text itself if nothing was removed, and else its kept words joined by one space.
         """
         row = F.struct(*(carry or [id]))
-        kind = self._rows(batch, id, text, row).schema["row"].dataType.simpleString()
+        kind = self._rows(batch, id, text, row).schema["row"].dataType
         whole = self._rows(batch, id, text, row).withColumn("new", F.lit(True))
         if history is not None:
             whole = whole.unionByName(self._rows(history, id, text, F.lit(None).cast(kind)).withColumn("new", F.lit(False)))
@@ -289,7 +290,8 @@ class FingerprintIndex:
         found = whole.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(
             _candidates(self.window, self.sample, parts), "bucket int, chunk long, one binary, two binary, twice binary")
         verified = found.groupBy("bucket").applyInArrow(_verify, "chunk long, one binary, two binary")
-        out = f"row {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+        out = T.StructType([T.StructField("row", whole.schema["row"].dataType), *(T.StructField(c, t) for c, t in (
+            ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType()))[:3 + with_text])])
         remove = _remove(self.window, self.sample, with_text)
         if history is None:
             return whole.groupBy("chunk").cogroup(verified.groupBy("chunk")).applyInArrow(remove, out)
