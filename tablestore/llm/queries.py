@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablestore.llm import bpe, mixing, neardup, rules, scoring, sharding, substring, urls
+from tablestore.llm import bpe, mixing, neardup, neighbours, rules, scoring, sharding, substring, urls
 
 #: Host, path, verdict of the url rules.
 URL_RULES = [
@@ -46,6 +46,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), listed)
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = Path(tokenizer_path()).read_text(encoding="utf-8")
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
@@ -74,6 +78,7 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_url_filters": op3_url_filters,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_bpe": op5_bpe,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
