@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablestore.llm import bpe, mixing, neardup, neighbours, rules, scoring, sharding, substring, urls
+from tablestore.llm import bpe, mixing, neardup, neighbours, quality, rules, scoring, sharding, substring, urls
 
 #: Host, path, verdict of the url rules.
 URL_RULES = [
@@ -55,6 +55,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    return quality.score(docs, quality.train(docs, labels))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedupe(table(spark, sf_dir, "documents")).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -80,6 +86,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_bpe": op5_bpe,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
