@@ -22,8 +22,9 @@ LEVELS = 8
 #: A window is the query's own range and `REACH` sixteenths of all ranges to either side.
 RANGES = 16
 REACH = 2
-#: Vectors of a range at most, about: the number of ranges grows with the table in steps of RANGES.
+#: Vectors of a range, about, at most and at least: the number of ranges grows with the table in steps of RANGES.
 RANGE_ROWS = 20_000
+MIN_ROWS = 16
 SEED = 7
 
 
@@ -121,7 +122,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id: str = "vec_id",
     distinct = checkpoint(distinct)
     n = distinct.count()
     steps = max(1, -(-n // (RANGES * RANGE_ROWS)))
-    ranges, window = RANGES * steps, reach * steps
+    # ranges of a few rows would leave windows empty
+    ranges = min(RANGES * steps, max(1, n // MIN_ROWS))
+    window = -(-ranges * reach // RANGES)
     order = Curves(len(first["vector"]), curves)
 
     def keyed(batches):
