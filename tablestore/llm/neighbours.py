@@ -133,10 +133,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id: str = "vec_id",
                 keys = order.keys(_matrix(b.column("vector")))
                 yield pa.table({f"k{i}": keys[:, i] for i in range(curves)}).to_batches()[0]
 
-    shares = [i / ranges for i in range(1, ranges)]
-    found = distinct.select("vector").mapInArrow(keyed, ", ".join(f"k{i} long" for i in range(curves)))
-    cuts = found.agg(*(F.percentile_approx(f"k{i}", shares, max(10_000, 20 * ranges)) for i in range(curves))).first()
-    cuts = [np.array(c, np.int64) for c in cuts]
+    cuts = [np.zeros(0, np.int64)] * curves
+    if ranges > 1:
+        shares = [i / ranges for i in range(1, ranges)]
+        found = distinct.select("vector").mapInArrow(keyed, ", ".join(f"k{i} long" for i in range(curves)))
+        got = found.agg(*(F.percentile_approx(f"k{i}", shares, max(10_000, 20 * ranges)) for i in range(curves))).first()
+        cuts = [np.array(c, np.int64) for c in got]
 
     def cells(batch, around: int):
         """Each row with the number of each cell it goes to: its range on each curve, and `around` to both sides."""
