@@ -63,14 +63,14 @@ def host_verdicts(judged: DataFrame, host: str = "source", max_rate: float = MAX
     variance v by moments, m * (1 - m) / v - 1, held within 1 and 1000. Without spread (one host, or equal
     rates) k is 1000 and every host keeps the common rate.
     """
-    hosts = judged.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    hosts = checkpoint(judged.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")))
     raw = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(raw).alias("m"), F.var_pop(raw).alias("v")).select(
-        "m", F.when(F.col("v") > 0, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1)))
-        .otherwise(F.lit(1000.0)).alias("k"))
-    shrunk = (F.col("failed") + F.col("m") * F.col("k")) / (F.col("n") + F.col("k"))
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n", "failed", shrunk.alias("rate"), (shrunk <= max_rate).alias("host_ok"))
+    m, v = hosts.agg(F.avg(raw), F.var_pop(raw)).first()
+    m = m or 0.0
+    k = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v else 1000.0
+    shrunk = (F.col("failed") + m * k) / (F.col("n") + k)
+    return hosts.select("host", "n", "failed", shrunk.alias("rate"), (shrunk <= max_rate).alias("host_ok"))
 
 
 def with_verdicts(rows: DataFrame, judged: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:

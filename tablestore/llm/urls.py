@@ -60,8 +60,7 @@ def judge(pages: DataFrame, rules: DataFrame, id: str = "page_id", url: str = "u
     listed = rules.where("host is not null and path is not null and verdict is not null").groupBy(
         F.concat("host", "path").alias("key"), F.length("host").alias("host_chars")).agg(F.max("verdict").alias("verdict"))
     # "block" sorts after "allow"
-    n, size, lengths = listed.join(F.broadcast(rules.sparkSession.range(1)), F.lit(True)).agg(
-        F.count(F.lit(1)), F.sum(F.length("key") + 32), F.collect_set(F.length("key") - F.col("host_chars"))).first()
+    n, size, lengths = listed.agg(F.count(F.lit(1)), F.sum(F.length("key") + 32), F.collect_set(F.length("key") - F.col("host_chars"))).first()
     blocks = max(1, n * BITS_PER_URL // 64)
     filter_rows = bloom_blocks(listed, "key", blocks)
     if blocks * 24 <= BROADCAST_BYTES:
