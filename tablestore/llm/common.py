@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,15 @@ def parts_for(spark: SparkSession, total_bytes: int, each: int = CHUNK_BYTES) ->
     return max(shuffle_partitions(spark), -(-total_bytes // each), 1)
 
 
+def grid_parts(spark: SparkSession, total_bytes: int, block: int = 64 << 10, most: int = 256 << 20) -> int:
+    """Parts for an exchange in which every part sends a block to every part.
+
+    A part grows with the square root of the input, so that blocks stay near `block` bytes and their number in
+    proportion to the input, until a part holds `most` bytes, which a task must be able to hold.
+    """
+    return parts_for(spark, total_bytes, min(max(CHUNK_BYTES, isqrt(total_bytes * block)), most))
+
+
 def fresh(prefix: str = "c") -> str:
     """A column name that clashes with none of the caller's."""
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"

@@ -24,11 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablestore.llm import blocks
-from tablestore.llm.common import parts_for, text_bytes
+from tablestore.llm.common import grid_parts, text_bytes
 
 #: Weight of the unigrams, in words.
 PRIOR_WORDS = 100.0
-CHUNK_BYTES = 8 << 20
 #: Keys of the text's end as a word, and of its start as a state; words hash with seed 0.
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 PAIR = np.uint64(0x2545F4914F6CDD1D)
@@ -179,7 +178,7 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    parts = parts_for(spark, text_bytes(rows), CHUNK_BYTES)
+    parts = grid_parts(spark, text_bytes(rows))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(parts)))
     asked = rows.groupBy("chunk").applyInArrow(_ask(parts), "bucket int, chunk long, data binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "bucket int, chunk long, data binary")

@@ -18,8 +18,9 @@ from tablestore.llm.common import checkpoint, shuffle_partitions
 
 #: Crates of a shard, about; more make the shards more equal.
 CRATES = 256
-#: Rows of a group cell, about.
+#: Rows of a cell, about, until there are MAX_CELLS cells of groups: each leaves one crate that is not full.
 CELL_ROWS = 20_000
+MAX_CELLS = 65_536
 
 
 class Capacities:
@@ -118,7 +119,7 @@ def shard(docs: DataFrame, shards: int = 16, id: str = "doc_id", text: str = "te
     n, total = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
     if not n:
         return rows.select(F.col("id").alias(id), "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    cells = max(1, min(-(-n // CELL_ROWS), n))
+    cells = min(-(-n // CELL_ROWS), MAX_CELLS)
     capacity = max(1, total // (shards * CRATES))
 
     def crates(key: tuple, part: pa.Table) -> pa.Table:

@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablestore.llm import blocks
-from tablestore.llm.common import ensure_checkpoint_dir, parts_for, text_bytes
+from tablestore.llm.common import CHUNK_BYTES, ensure_checkpoint_dir, grid_parts, text_bytes
 
 WINDOW = 35
 SAMPLE = 16
-CHUNK_BYTES = 8 << 20
 #: Odd bases of the polynomial hashes.
 BASE, SECOND, THIRD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+#: Occurrences that a task holds at a time.
+HELD = 4_000_000
 RUN = "bucket int, keys binary, owners binary"
 
 
@@ -96,15 +97,26 @@ def _slices(batch: pa.RecordBatch, most: int = CHUNK_BYTES):
 
 
 def _occurrences(window: int, sample: int, buckets: int):
-    """Texts to run rows: every place that is some window's anchor is one occurrence, owned by its row's slot."""
+    """Texts to run rows: every place that is some window's anchor is one occurrence, owned by its row's slot.
+
+    A task gathers up to HELD occurrences before it deals them out, so that blocks don't get small.
+    """
     def emit(batches):
+        keys, owners, held = [], [], 0
         for batch in batches:
             for part in _slices(batch):
                 w = Windows(part.column("text"), window, sample)
                 place, key = w.anchors()
                 place, first = np.unique(place, return_index=True)
                 owner = np.asarray(part.column("slot"))[np.searchsorted(w.words.starts, place, side="right") - 1]
-                yield from _run_rows(key[first], owner.astype(np.uint64), buckets).to_batches()
+                keys.append(key[first])
+                owners.append(owner.astype(np.uint64))
+                held += len(place)
+                if held > HELD:
+                    yield from _run_rows(np.concatenate(keys), np.concatenate(owners), buckets).to_batches()
+                    keys, owners, held = [], [], 0
+        if held:
+            yield from _run_rows(np.concatenate(keys), np.concatenate(owners), buckets).to_batches()
     return emit
 
 
@@ -282,7 +294,7 @@ class FingerprintIndex:
         whole = self._rows(batch, id, text, row).withColumn("new", F.lit(True))
         if history is not None:
             whole = whole.unionByName(self._rows(history, id, text, F.lit(None).cast(kind)).withColumn("new", F.lit(False)))
-        parts = min(parts_for(self.spark, text_bytes(whole), CHUNK_BYTES), self.SLOTS)
+        parts = min(grid_parts(self.spark, text_bytes(whole)), self.SLOTS)
         whole = whole.select((F.col("slot") % parts).alias("chunk"), "text", "row", "new")
         runs = self.runs()
         stored = self.spark.read.schema(RUN).parquet(*runs) if runs else self.spark.createDataFrame([], RUN)
@@ -305,7 +317,7 @@ class FingerprintIndex:
 def dedupe(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: list[str] | None = None, with_text: bool = False,
            window: int = WINDOW, sample: int = SAMPLE, batches: int = 1) -> DataFrame:
     """Judge all rows of docs at once on a fresh index, appended in `batches` batches. See FingerprintIndex.judge."""
-    index = FingerprintIndex(docs.sparkSession, buckets=parts_for(docs.sparkSession, text_bytes(docs, text), CHUNK_BYTES), window=window, sample=sample)
+    index = FingerprintIndex(docs.sparkSession, buckets=grid_parts(docs.sparkSession, text_bytes(docs, text)), window=window, sample=sample)
     for i in range(batches):
         part = docs if batches == 1 else docs.where(F.pmod(F.xxhash64(id, text, F.lit(1)), F.lit(batches)) == i)
         index.append(part, id, text)
