@@ -25,6 +25,8 @@ HOT_GROUP = 1024
 LEVELS = 3
 #: Hot groups up to this number are broadcast for the split; more are joined by shuffle.
 BROADCAST_GROUPS = 20_000
+#: Digests up to this number are broadcast to find their texts; more are joined by shuffle.
+BROADCAST_TEXTS = 200_000
 #: Rows of a trie task, about, and node pairs held at a time.
 TASK_ROWS = 250_000
 FRONTIER = 500_000
@@ -262,7 +264,7 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: i
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = checkpoint(fingerprints(docs, text, [F.col(id), F.md5(whole)], shingle)).toDF("id", "digest", "fingerprint")
-    members = rows.join(classes(rows, bits), "fingerprint").select("root", "digest", "id")
+    members = rows.join(checkpoint(classes(rows, bits)), "fingerprint").select("root", "digest", "id")
     # one row for each text: its smallest id; a row number limited to 1 is cut before the shuffle
     by_text = Window.partitionBy("root", "digest").orderBy(F.col("id").asc_nulls_last())
     texts = checkpoint(members.withColumn("n", F.row_number().over(by_text)).where("n = 1").drop("n"))
@@ -272,16 +274,22 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: i
     others = checkpoint(marked.where("digest != first"))
     # the texts of components with several
     wanted = others.select("root", "digest").unionByName(others.select("root", F.col("first").alias("digest")).distinct())
-    bodies = docs.select(F.md5(whole).alias("digest"), whole.alias("text")).join(wanted.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    digests = checkpoint(wanted.select("digest").distinct())
+    digests = F.broadcast(digests) if digests.count() <= BROADCAST_TEXTS else digests
+    bodies = docs.select(F.md5(whole).alias("digest"), whole.alias("text")).join(digests, "digest", "left_semi")
+    any_row = F.row_number().over(Window.partitionBy("digest").orderBy("digest"))
+    bodies = bodies.withColumn("n", any_row).where("n = 1").drop("n")
     sets = checkpoint(_shingle_sets(wanted.join(bodies, "digest"), words))
     pair = others.join(sets, ["root", "digest"]).withColumnRenamed("shingles", "mine")
     pair = pair.join(sets.select("root", F.col("digest").alias("first"), F.col("shingles").alias("its")), ["root", "first"])
     shared = F.size(F.array_intersect("mine", "its"))
     apart = pair.where(shared < similarity * (F.size("mine") + F.size("its") - shared)).select("id", "digest")
     kept = marked.where("digest = first").select("id", "digest").unionByName(apart)
-    kept = checkpoint(kept)
+    # ids as text that is never null: join and window then share one shuffle of the rows, of which a row number
+    # limited to 1 sends on one of each
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
     key, mark, row = fresh("id"), fresh("digest"), fresh("row")
-    full = docs.select(F.struct(*docs.columns).alias(row), F.col(id).alias(key), F.md5(whole).alias(mark))
-    one = full.join(kept, full[key].eqNullSafe(kept["id"]) & (full[mark] == kept["digest"]), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(key, mark).orderBy(mark))
-    return one.withColumn("n", rank).where("n = 1").select(f"{row}.*")
+    kept = checkpoint(kept.select(named(F.col("id")).alias(key), F.col("digest").alias(mark)))
+    full = docs.select(F.struct(*docs.columns).alias(row), named(F.col(id)).alias(key), F.md5(whole).alias(mark))
+    once = full.withColumn("n", F.row_number().over(Window.partitionBy(key, mark).orderBy(mark))).where("n = 1")
+    return once.join(kept, [key, mark], "left_semi").select(f"{row}.*")
