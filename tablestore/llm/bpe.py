@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 #: Fixed value: the public pattern that cuts text into pieces before byte-level merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces and token pairs that a worker remembers.
-MEMORY = 400_000
+#: Pieces and token pairs that a worker remembers, some 70 MB each at most.
+PIECE_MEMORY, PAIR_MEMORY = 200_000, 400_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -92,7 +92,7 @@ class Vocabulary:
         pair = (left, right)
         known = self.compatible.get(pair)
         if known is None:
-            if len(self.compatible) > 4 * MEMORY:
+            if len(self.compatible) >= PAIR_MEMORY:
                 self.compatible.clear()
             known = self.compatible[pair] = self._fits(left, right)
         return known
@@ -152,7 +152,7 @@ class Vocabulary:
         ids = [self.id[r] for r in self.encode_piece(text.encode())]
         found = "".join(f"{i}," for i in ids), np.array(ids, "<i4").tobytes()
         if len(text) <= 64:
-            if len(self.known) >= MEMORY:
+            if len(self.known) >= PIECE_MEMORY:
                 self.known.clear()
             self.known[text] = found
         return found
