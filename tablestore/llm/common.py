@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: The white space that separates words: space and the code points 9 to 13.
 SPACES = "\t\n\x0b\x0c\r "
 #: Bytes of text that one task handles at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def words(text: Column) -> Column:

@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablestore.llm import blocks
-from tablestore.llm.common import CHUNK_BYTES, ensure_checkpoint_dir, grid_parts, text_bytes
+from tablestore.llm.common import ensure_checkpoint_dir, grid_parts, text_bytes
 
 WINDOW = 35
 SAMPLE = 16
 #: Odd bases of the polynomial hashes.
 BASE, SECOND, THIRD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+#: Bytes of text that a scan takes up at a time.
+SLICE_BYTES = 2 << 20
 #: Occurrences that a task holds at a time.
-HELD = 4_000_000
+HELD = 1_000_000
 RUN = "bucket int, keys binary, owners binary"
 
 
@@ -85,7 +87,7 @@ def _read_rows(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.concatenate([blocks.unsqueeze(x) for x in part["owners"].to_pylist()])
 
 
-def _slices(batch: pa.RecordBatch, most: int = CHUNK_BYTES):
+def _slices(batch: pa.RecordBatch, most: int = SLICE_BYTES):
     """The batch in slices of about `most` bytes of text; a row is never cut."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
     start = 0
