@@ -27,6 +27,8 @@ LEVELS = 3
 BROADCAST_GROUPS = 20_000
 #: Digests up to this number are broadcast to find their texts; more are joined by shuffle.
 BROADCAST_TEXTS = 200_000
+#: Texts of a component that are compared with each other in a round.
+ROUND_TEXTS = 32
 #: Rows of a trie task, about, and node pairs held at a time.
 TASK_ROWS = 250_000
 FRONTIER = 500_000
@@ -242,49 +244,89 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 
 
 def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """(root, digest, text) to (root, digest, shingles): distinct 64-bit hashes of the shingles, as fingerprints take them."""
+    """The rows with shingles for text: distinct 64-bit hashes of the shingles, as fingerprints take them."""
+    names = [c for c in rows.columns if c != "text"]
+
     def run(batches):
         for b in batches:
             sets = []
             for text in b.column("text").to_pylist():
                 w = (text or "").encode().lower().split()
                 sets.append(sorted({xxhash.xxh64_intdigest(b" ".join(w[i:i + words])) >> 1 for i in range(max(1, len(w) - words + 1))}))
-            yield pa.RecordBatch.from_arrays([b.column("root"), b.column("digest"), pa.array(sets, pa.list_(pa.int64()))], names=["root", "digest", "shingles"])
-    return rows.select("root", "digest", "text").mapInArrow(run, "root long, digest string, shingles array<long>")
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(sets, pa.list_(pa.int64()))], names=[*names, "shingles"])
+
+    kind = ", ".join(f"{n} {t}" for n, t in rows.drop("text").dtypes)
+    return rows.select(*names, "text").mapInArrow(run, f"{kind}, shingles array<long>")
+
+
+def _unlike(similarity: float):
+    """Of a root's texts, by their number n: those that reach the similarity with none taken before."""
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("n").drop_columns("n")
+        sets = [np.asarray(s.values) for s in rows["shingles"]]
+        taken = []
+        for i, mine in enumerate(sets):
+            for its in (sets[j] for j in taken):
+                shared = min(len(mine), len(its))
+                if shared >= similarity * max(len(mine), len(its)):
+                    shared = len(np.intersect1d(mine, its, assume_unique=True))
+                    if shared >= similarity * (len(mine) + len(its) - shared):
+                        break
+            else:
+                taken.append(i)
+        return rows.take(pa.array(taken, pa.int64()))
+    return run
+
+
+def _representatives(left: DataFrame, similarity: float) -> DataFrame:
+    """(id, digest) of the texts to keep of (root, id, digest, shingles), see keep_one.
+
+    A round compares the next texts of each root with each other, and what is left of the root with those
+    of them that it keeps. Most roots need one round, as do many copies of one text.
+    """
+    kind = ", ".join(f"{n} {t}" for n, t in left.dtypes)
+    by_root = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "digest")
+    kept = None
+    while True:
+        next_ = checkpoint(left.withColumn("n", F.row_number().over(by_root)).where(F.col("n") <= ROUND_TEXTS))
+        taken = checkpoint(next_.groupBy("root").applyInArrow(_unlike(similarity), kind))
+        found = taken.select("id", "digest")
+        kept = found if kept is None else kept.unionByName(found)
+        more = checkpoint(left.groupBy("root").count().where(F.col("count") > ROUND_TEXTS).select("root"))
+        if more.isEmpty():
+            return kept
+        rest = left.join(more, "root", "left_semi").join(next_.select("digest"), "digest", "left_anti")
+        its = checkpoint(taken.join(more, "root", "left_semi").groupBy("root").agg(F.collect_list("shingles").alias("its")))
+        shared = lambda x: F.size(F.array_intersect("shingles", x))
+        alike = F.exists("its", lambda x: shared(x) >= similarity * (F.size("shingles") + F.size(x) - shared(x)))
+        left = checkpoint(rest.join(its, "root").where(~alike).select(*left.columns))
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS,
              similarity: float = 0.8, words: int = 5) -> DataFrame:
     """The rows of docs with exactly their columns, less near-duplicates.
 
-    Of each component of linked fingerprints the row of the smallest id stays (nulls last, then the smallest
-    digest of the text; of rows that repeat it in both, one). The others go if their text is the same or their
-    sets of `words`-word shingles have at least this Jaccard similarity with it; others stay, once for each text.
-    Null and empty texts are equal texts.
+    The texts of each component of linked fingerprints are taken in order of their smallest id (nulls last, then
+    the smallest digest of the text). A text goes if its set of `words`-word shingles has at least this Jaccard
+    similarity with that of any text kept before; else the row of its smallest id stays (of rows that repeat it in
+    both, one). So no two kept texts of a component reach the similarity. Null and empty texts are equal texts.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = checkpoint(fingerprints(docs, text, [F.col(id), F.md5(whole)], shingle)).toDF("id", "digest", "fingerprint")
     members = rows.join(checkpoint(classes(rows, bits)), "fingerprint").select("root", "digest", "id")
     # one row for each text: its smallest id; a row number limited to 1 is cut before the shuffle
     by_text = Window.partitionBy("root", "digest").orderBy(F.col("id").asc_nulls_last())
-    texts = checkpoint(members.withColumn("n", F.row_number().over(by_text)).where("n = 1").drop("n"))
-    by_root = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "digest")
-    first = checkpoint(texts.withColumn("n", F.row_number().over(by_root)).where("n = 1").select("root", F.col("digest").alias("first")))
-    marked = texts.join(first, "root")
-    others = checkpoint(marked.where("digest != first"))
+    texts = checkpoint(members.withColumn("n", F.row_number().over(by_text)).where("n = 1").select("root", "id", "digest"))
     # the texts of components with several
-    wanted = others.select("root", "digest").unionByName(others.select("root", F.col("first").alias("digest")).distinct())
-    digests = checkpoint(wanted.select("digest").distinct())
-    digests = F.broadcast(digests) if digests.count() <= BROADCAST_TEXTS else digests
+    several = checkpoint(texts.groupBy("root").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a < b").select("root"))
+    wanted = checkpoint(texts.join(several, "root", "left_semi"))
+    digests = wanted.select("digest")
+    digests = F.broadcast(digests) if wanted.count() <= BROADCAST_TEXTS else digests
     bodies = docs.select(F.md5(whole).alias("digest"), whole.alias("text")).join(digests, "digest", "left_semi")
     any_row = F.row_number().over(Window.partitionBy("digest").orderBy("digest"))
     bodies = bodies.withColumn("n", any_row).where("n = 1").drop("n")
-    sets = checkpoint(_shingle_sets(wanted.join(bodies, "digest"), words))
-    pair = others.join(sets, ["root", "digest"]).withColumnRenamed("shingles", "mine")
-    pair = pair.join(sets.select("root", F.col("digest").alias("first"), F.col("shingles").alias("its")), ["root", "first"])
-    shared = F.size(F.array_intersect("mine", "its"))
-    apart = pair.where(shared < similarity * (F.size("mine") + F.size("its") - shared)).select("id", "digest")
-    kept = marked.where("digest = first").select("id", "digest").unionByName(apart)
+    sets = checkpoint(_shingle_sets(wanted.join(bodies, "digest").select("root", "id", "digest", "text"), words))
+    kept = texts.join(several, "root", "left_anti").select("id", "digest").unionByName(_representatives(sets, similarity))
     # ids as text that is never null: join and window then share one shuffle of the rows, of which a row number
     # limited to 1 sends on one of each
     named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))

@@ -218,6 +218,39 @@ def test_keep_one(spark, awkward, empty):
     assert neardup.keep_one(empty).count() == 0
 
 
+def shingle_sets(texts, n=5):
+    words = [t.lower().split() for t in texts]
+    return [{tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))} for w in words]
+
+
+@pytest.mark.parametrize("at_a_time", [32, 4])
+def test_no_kept_texts_are_alike(spark, monkeypatch, at_a_time):
+    import random
+
+    monkeypatch.setattr(neardup, "ROUND_TEXTS", at_a_time)
+    draw = random.Random(5)
+
+    def edit(words, n):
+        out = list(words)
+        for i in draw.sample(range(len(out)), n):
+            out[i] = f"edit{draw.randrange(10**9)}"
+        return " ".join(out)
+
+    rows = []
+    for group in range(4):
+        body = [f"g{group}w{draw.randrange(4000)}" for _ in range(300)]
+        # the smallest id is a heavier edit than the others
+        rows += [(100 * group, edit(body, 12), "a")] + [(100 * group + i, edit(body, draw.randrange(1, 4)), "a") for i in range(1, 40)]
+    # all in one component: the texts alone decide
+    got = neardup.keep_one(spark.createDataFrame(rows, KIND), bits=64)
+    kept = {r.doc_id for r in got.collect()}
+    sets, want = dict(zip((r[0] for r in rows), shingle_sets([r[1] for r in rows]))), []
+    for i in sorted(sets):
+        if all(len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j]) for j in want):
+            want.append(i)
+    assert kept == set(want) and len(want) < 40
+
+
 # 3
 
 
