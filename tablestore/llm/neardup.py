@@ -27,6 +27,10 @@ LEVELS = 3
 BROADCAST_GROUPS = 20_000
 #: Digests up to this number are broadcast to find their texts; more are joined by shuffle.
 BROADCAST_TEXTS = 200_000
+#: Bands of MinHash values: sets that share 0.8 of their shingles agree in a band with a chance of 0.9998.
+BANDS = 16
+BAND_VALUES = 4
+ODD = np.random.default_rng(11).integers(0, 1 << 63, (BANDS, BAND_VALUES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Texts of a component that are compared with each other in a round.
 ROUND_TEXTS = 32
 #: Rows of a trie task, about, and node pairs held at a time.
@@ -71,19 +75,47 @@ def fingerprint_many(texts: list, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", carry: list[Column] = (), shingle: int = SHINGLE) -> DataFrame:
-    """fingerprint (its 64 bits as a long) and the carried columns, a row for each row of docs."""
+def _shingles(text: str | None, words: int) -> list[int]:
+    w = (text or "").encode().lower().split()
+    return [xxhash.xxh64_intdigest(b" ".join(w[i:i + words])) for i in range(max(1, len(w) - words + 1))]
+
+
+def bands_many(texts: list, words: int) -> np.ndarray:
+    """A row of BANDS numbers for each text; each stands for BAND_VALUES least hashes of its shingles."""
+    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(texts), 1))
+    hashes, sizes, begin = [], [], 0
+    for i, text in enumerate(texts):
+        found = _shingles(text, words)
+        hashes += found
+        sizes.append(len(found))
+        if len(hashes) > 200_000 or i + 1 == len(texts):
+            h, starts = np.array(hashes, np.uint64), np.append(0, np.cumsum(sizes))[:-1]
+            for band in range(BANDS):
+                for odd in ODD[band]:
+                    out[begin:i + 1, band] = (out[begin:i + 1, band] ^ np.minimum.reduceat(h * odd, starts)) * np.uint64(0x9E3779B97F4A7C15)
+            hashes, sizes, begin = [], [], i + 1
+    return out
+
+
+def fingerprints(docs: DataFrame, text: str = "text", carry: list[Column] = (), shingle: int = SHINGLE, words: int = 0) -> DataFrame:
+    """fingerprint (its 64 bits as a long) and the carried columns, a row for each row of docs.
+
+    With `words`, also bands: the numbers of bands_many over shingles of so many words.
+    """
     names = [f"c{i}" for i in range(len(carry))]
     rows = docs.select(*(c.alias(n) for c, n in zip(carry, names)), F.col(text).alias("text"))
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                fp = fingerprint_many(b.column("text").to_pylist(), shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(fp)], names=[*names, "fingerprint"])
+                texts = b.column("text").to_pylist()
+                made = [pa.array(fingerprint_many(texts, shingle).view(np.int64))]
+                if words:
+                    made.append(pa.array(list(bands_many(texts, words).view(np.int64)), pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *made], names=[*names, "fingerprint", "bands"][:len(names) + len(made)])
 
-    kind = ", ".join(f"{n} {t}" for n, t in rows.drop("text").dtypes)
-    return rows.mapInArrow(run, f"{kind}, fingerprint long" if kind else "fingerprint long")
+    kind = [f"{n} {t}" for n, t in rows.drop("text").dtypes] + ["fingerprint long"] + ["bands array<long>"] * bool(words)
+    return rows.mapInArrow(run, ", ".join(kind))
 
 
 def _blocks(positions: list[int], n: int) -> list[int]:
@@ -217,13 +249,23 @@ def _trie_task(bits: int):
     return run
 
 
-def classes(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """(fingerprint, root) for each distinct fingerprint of `fps`; the root stands for its component."""
+def _band_links(rows: DataFrame) -> DataFrame:
+    """(u, v): each fingerprint with the least one that shares a band with it."""
+    each = rows.select(F.explode("bands").alias("band"), F.col("fingerprint").alias("u"))
+    least = checkpoint(each.groupBy("band").agg(F.min("u").alias("v"), F.max("u").alias("most")).where("v < most").drop("most"))
+    return each.join(least, "band").where("u != v").select("u", "v")
+
+
+def classes(fps: DataFrame, bits: int = BITS, more: DataFrame | None = None) -> DataFrame:
+    """(fingerprint, root) for each distinct fingerprint of `fps`; the root stands for its component.
+
+    `more` holds links (u, v) of fingerprints besides those within the budget.
+    """
     fps = checkpoint(fps.select("fingerprint").distinct())
     rows = checkpoint(_grouped(fps, bits))
     parts = max(shuffle_partitions(fps.sparkSession), -(-rows.count() // TASK_ROWS))
     links = rows.repartition(parts, "group").mapInArrow(_trie_task(bits), "u long, v long")
-    roots = connected(links)
+    roots = connected(links if more is None else links.unionByName(more))
     return fps.join(roots, fps.fingerprint == roots.node, "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
 
 
@@ -251,8 +293,7 @@ def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
         for b in batches:
             sets = []
             for text in b.column("text").to_pylist():
-                w = (text or "").encode().lower().split()
-                sets.append(sorted({xxhash.xxh64_intdigest(b" ".join(w[i:i + words])) >> 1 for i in range(max(1, len(w) - words + 1))}))
+                sets.append(sorted({h >> 1 for h in _shingles(text, words)}))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(sets, pa.list_(pa.int64()))], names=[*names, "shingles"])
 
     kind = ", ".join(f"{n} {t}" for n, t in rows.drop("text").dtypes)
@@ -306,14 +347,15 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: i
              similarity: float = 0.8, words: int = 5) -> DataFrame:
     """The rows of docs with exactly their columns, less near-duplicates.
 
-    The texts of each component of linked fingerprints are taken in order of their smallest id (nulls last, then
+    Fingerprints are linked within the budget or by a band of MinHash values of the `words`-word shingles, which
+    finds similar texts whose fingerprints are far apart. The texts of each component are taken in order of their smallest id (nulls last, then
     the smallest digest of the text). A text goes if its set of `words`-word shingles has at least this Jaccard
     similarity with that of any text kept before; else the row of its smallest id stays (of rows that repeat it in
     both, one). So no two kept texts of a component reach the similarity. Null and empty texts are equal texts.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = checkpoint(fingerprints(docs, text, [F.col(id), F.md5(whole)], shingle)).toDF("id", "digest", "fingerprint")
-    members = rows.join(checkpoint(classes(rows, bits)), "fingerprint").select("root", "digest", "id")
+    rows = checkpoint(fingerprints(docs, text, [F.col(id), F.md5(whole)], shingle, words)).toDF("id", "digest", "fingerprint", "bands")
+    members = rows.drop("bands").join(checkpoint(classes(rows, bits, _band_links(rows))), "fingerprint").select("root", "digest", "id")
     # one row for each text: its smallest id; a row number limited to 1 is cut before the shuffle
     by_text = Window.partitionBy("root", "digest").orderBy(F.col("id").asc_nulls_last())
     texts = checkpoint(members.withColumn("n", F.row_number().over(by_text)).where("n = 1").select("root", "id", "digest"))

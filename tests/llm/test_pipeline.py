@@ -129,3 +129,25 @@ def test_near_copies_go_and_clean_documents_stay(spark, sf):
     kept = {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, sf).collect()}
     assert set(range(40)) <= kept and not kept & set(range(100, 300)) and len(kept & set(range(300, 310))) <= 2
     assert corpus_pipeline.quality_rules(spark, docs, sf).count() == len(rows)
+
+
+def test_no_similar_documents_are_kept(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id: shingles(r.text, 5) for r in corpus_pipeline.simhash_dedup(spark, docs, sf).collect()}
+    similar = [(a, b) for a in kept for b in kept if a < b and len(kept[a] & kept[b]) >= 0.8 * len(kept[a] | kept[b])]
+    assert similar == []
+
+
+def test_every_light_edit_goes(spark, sf):
+    import random
+
+    draw = random.Random(6)
+    rows = []
+    for i in range(40):
+        w = [f"{draw.choice('abcdefgh')}{draw.randrange(5000)}" for _ in range(150)]
+        rows.append((i, " ".join(w), "s0"))
+        for at in (40, 80, 120):
+            w[at] = "changed"
+        rows.append((100 + i, " ".join(w), "s1"))
+    docs = spark.createDataFrame(rows, KIND).withColumns({"lang": F.lit("xx"), "n_chars": F.length("text").cast("long")})
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, sf).collect()) == list(range(40))
