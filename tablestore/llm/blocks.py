@@ -18,10 +18,11 @@ class Words:
     def __init__(self, texts: pa.Array, lower: bool = False):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.fill_null(texts, "")
         if lower:
+            # before the cast: on a slice that was cast, it returns other bytes
             texts = pc.ascii_lower(texts)
-        lists = pc.ascii_split_whitespace(texts)
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         starts = np.asarray(lists.offsets)
         flat = lists.flatten()
         real = pc.greater(pc.binary_length(flat), 0)
