@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablestore.llm.common import checkpoint, fresh, shuffle_partitions
+from tablestore.llm.common import checkpoint, shuffle_partitions, text_slices
 from tablestore.llm.components import connected
 
 SHINGLE = 3
@@ -25,14 +25,8 @@ HOT_GROUP = 1024
 LEVELS = 3
 #: Hot groups up to this number are broadcast for the split; more are joined by shuffle.
 BROADCAST_GROUPS = 20_000
-#: Digests up to this number are broadcast to find their texts; more are joined by shuffle.
-BROADCAST_TEXTS = 200_000
-#: Bands of MinHash values: sets that share 0.8 of their shingles agree in a band with a chance of 0.9998.
-BANDS = 16
-BAND_VALUES = 4
-ODD = np.random.default_rng(11).integers(0, 1 << 63, (BANDS, BAND_VALUES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Texts of a component that are compared with each other in a round.
-ROUND_TEXTS = 32
+#: Rows up to this number are broadcast to find or drop them; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 #: Rows of a trie task, about, and node pairs held at a time.
 TASK_ROWS = 250_000
 FRONTIER = 500_000
@@ -75,46 +69,18 @@ def fingerprint_many(texts: list, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def _shingles(text: str | None, words: int) -> list[int]:
-    w = (text or "").encode().lower().split()
-    return [xxhash.xxh64_intdigest(b" ".join(w[i:i + words])) for i in range(max(1, len(w) - words + 1))]
-
-
-def bands_many(texts: list, words: int) -> np.ndarray:
-    """A row of BANDS numbers for each text; each stands for BAND_VALUES least hashes of its shingles."""
-    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(texts), 1))
-    hashes, sizes, begin = [], [], 0
-    for i, text in enumerate(texts):
-        found = _shingles(text, words)
-        hashes += found
-        sizes.append(len(found))
-        if len(hashes) > 200_000 or i + 1 == len(texts):
-            h, starts = np.array(hashes, np.uint64), np.append(0, np.cumsum(sizes))[:-1]
-            for band in range(BANDS):
-                for odd in ODD[band]:
-                    out[begin:i + 1, band] = (out[begin:i + 1, band] ^ np.minimum.reduceat(h * odd, starts)) * np.uint64(0x9E3779B97F4A7C15)
-            hashes, sizes, begin = [], [], i + 1
-    return out
-
-
-def fingerprints(docs: DataFrame, text: str = "text", carry: list[Column] = (), shingle: int = SHINGLE, words: int = 0) -> DataFrame:
-    """fingerprint (its 64 bits as a long) and the carried columns, a row for each row of docs.
-
-    With `words`, also bands: the numbers of bands_many over shingles of so many words.
-    """
+def fingerprints(docs: DataFrame, text: str = "text", carry: list[Column] = (), shingle: int = SHINGLE) -> DataFrame:
+    """fingerprint (its 64 bits as a long) and the carried columns, a row for each row of docs."""
     names = [f"c{i}" for i in range(len(carry))]
     rows = docs.select(*(c.alias(n) for c, n in zip(carry, names)), F.col(text).alias("text"))
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                texts = b.column("text").to_pylist()
-                made = [pa.array(fingerprint_many(texts, shingle).view(np.int64))]
-                if words:
-                    made.append(pa.array(list(bands_many(texts, words).view(np.int64)), pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *made], names=[*names, "fingerprint", "bands"][:len(names) + len(made)])
-
-    kind = [f"{n} {t}" for n, t in rows.drop("text").dtypes] + ["fingerprint long"] + ["bands array<long>"] * bool(words)
+        for batch in batches:
+            for b in text_slices(batch):
+                made = pa.array(fingerprint_many(b.column("text").to_pylist(), shingle).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), made], names=[*names, "fingerprint"])
+
+    kind = [f"{n} {t}" for n, t in rows.drop("text").dtypes] + ["fingerprint long"]
     return rows.mapInArrow(run, ", ".join(kind))
 
 
@@ -172,20 +138,22 @@ def _grouped(fps: DataFrame, bits: int) -> DataFrame:
 def trie_links(groups: np.ndarray, fps: np.ndarray, bits: int):
     """Pairs (i, j) of positions within a group whose fingerprints differ in at most `bits` bits, in pieces.
 
-    groups and fps are sorted by group, then by fingerprint, without repeats. A node of a group's trie is a range
-    of positions that share a beginning of their bits.
+    A fingerprint is a number of 64 bits, or a row of several. groups and fps are sorted by group, then by fingerprint,
+    without repeats. A node of a group's trie is a range of positions that share a beginning of their bits.
     """
-    n = len(fps)
+    fps = fps.reshape(len(fps), -1)
+    n, top = len(fps), 64 * fps.shape[1] - 1
     begins = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if n else np.zeros(0, np.int64)
     ends = np.append(begins[1:], n)
     real = ends - begins > 1
     a = begins[real], ends[real]
-    stack = [(63, a[0], a[1], a[0], a[1], np.zeros(len(a[0]), np.int8))]
+    stack = [(0, a[0], a[1], a[0], a[1], np.zeros(len(a[0]), np.int16))]
     ones = {}
 
     def split(bit: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         if bit not in ones:
-            ones[bit] = np.append(0, np.cumsum((fps >> np.uint64(bit)) & np.uint64(1), dtype=np.int64))
+            ones.clear()
+            ones[bit] = np.append(0, np.cumsum((fps[:, bit // 64] >> np.uint64(63 - bit % 64)) & np.uint64(1), dtype=np.int64))
         return hi - (ones[bit][hi] - ones[bit][lo])
 
     while stack:
@@ -200,11 +168,11 @@ def trie_links(groups: np.ndarray, fps: np.ndarray, bits: int):
             i, j = alo[single], blo[single]
             other = i != j
             i, j = i[other], j[other]
-            near = np.bitwise_count(fps[i] ^ fps[j]) <= bits
+            near = np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int64) <= bits
             if near.any():
                 yield i[near], j[near]
             alo, ahi, blo, bhi, far = (x[~single] for x in (alo, ahi, blo, bhi, far))
-        if not len(alo):
+        if not len(alo) or bit > top:
             continue
         amid, bmid = split(bit, alo, ahi), split(bit, blo, bhi)
         itself = alo == blo
@@ -213,7 +181,7 @@ def trie_links(groups: np.ndarray, fps: np.ndarray, bits: int):
         new = [np.concatenate(x) for x in zip(*parts)]
         live = (new[1] > new[0]) & (new[3] > new[2]) & (new[4] <= bits) & ~((new[0] == new[2]) & (new[1] - new[0] == 1))
         if live.any():
-            stack.append((bit - 1, *(x[live] for x in new)))
+            stack.append((bit + 1, *(x[live] for x in new)))
 
 
 def join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -229,43 +197,34 @@ def join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             labels[:] = up
 
 
-def _trie_task(bits: int):
+def _trie_task(bits: int, columns: tuple[str, ...] = ("fingerprint",), node: str = "fingerprint"):
+    """Rows of groups to links (u, v) of the nodes that the task finds connected: a spanning set, not all pairs."""
     def run(batches):
         tables = [b for b in batches if b.num_rows]
         if not tables:
             return
-        group = np.concatenate([np.asarray(b.column("group")) for b in tables])
-        fp = np.concatenate([np.asarray(b.column("fingerprint")) for b in tables]).view(np.uint64)
-        order = np.lexsort((fp, group))
-        group, fp = group[order], fp[order]
-        new = np.append(True, (group[1:] != group[:-1]) | (fp[1:] != fp[:-1]))
-        group, fp = group[new], fp[new]
-        distinct, at = np.unique(fp, return_inverse=True)
+        group, name = (np.concatenate([np.asarray(b.column(c)) for b in tables]) for c in ("group", node))
+        fp = np.stack([np.concatenate([np.asarray(b.column(c)) for b in tables]).view(np.uint64) for c in columns], 1)
+        order = np.lexsort((*fp.T[::-1], group))
+        group, fp, name = group[order], fp[order], name[order]
+        new = np.append(True, (group[1:] != group[:-1]) | (fp[1:] != fp[:-1]).any(1))
+        group, fp, name = group[new], fp[new], name[new]
+        distinct, at = np.unique(name, return_inverse=True)
         labels = np.arange(len(distinct))
         for i, j in trie_links(group, fp, bits):
             join_labels(labels, at[i], at[j])
         moved = np.flatnonzero(labels != np.arange(len(labels)))
-        yield pa.RecordBatch.from_arrays([pa.array(distinct[moved].view(np.int64)), pa.array(distinct[labels[moved]].view(np.int64))], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(distinct[moved]), pa.array(distinct[labels[moved]])], names=["u", "v"])
     return run
 
 
-def _band_links(rows: DataFrame) -> DataFrame:
-    """(u, v): each fingerprint with the least one that shares a band with it."""
-    each = rows.select(F.explode("bands").alias("band"), F.col("fingerprint").alias("u"))
-    least = checkpoint(each.groupBy("band").agg(F.min("u").alias("v"), F.max("u").alias("most")).where("v < most").drop("most"))
-    return each.join(least, "band").where("u != v").select("u", "v")
-
-
-def classes(fps: DataFrame, bits: int = BITS, more: DataFrame | None = None) -> DataFrame:
-    """(fingerprint, root) for each distinct fingerprint of `fps`; the root stands for its component.
-
-    `more` holds links (u, v) of fingerprints besides those within the budget.
-    """
+def classes(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """(fingerprint, root) for each distinct fingerprint of `fps`; the root stands for its component."""
     fps = checkpoint(fps.select("fingerprint").distinct())
     rows = checkpoint(_grouped(fps, bits))
     parts = max(shuffle_partitions(fps.sparkSession), -(-rows.count() // TASK_ROWS))
     links = rows.repartition(parts, "group").mapInArrow(_trie_task(bits), "u long, v long")
-    roots = connected(links if more is None else links.unionByName(more))
+    roots = connected(links)
     return fps.join(roots, fps.fingerprint == roots.node, "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
 
 
@@ -283,97 +242,3 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     of_print = least.join(of_root, "root").select("fingerprint", "component_id")
     hexed = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
     return rows.join(of_print, "fingerprint").select(F.col("id").alias(id), hexed.alias("fingerprint"), "component_id")
-
-
-def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """The rows with shingles for text: distinct 64-bit hashes of the shingles, as fingerprints take them."""
-    names = [c for c in rows.columns if c != "text"]
-
-    def run(batches):
-        for b in batches:
-            sets = []
-            for text in b.column("text").to_pylist():
-                sets.append(sorted({h >> 1 for h in _shingles(text, words)}))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(sets, pa.list_(pa.int64()))], names=[*names, "shingles"])
-
-    kind = ", ".join(f"{n} {t}" for n, t in rows.drop("text").dtypes)
-    return rows.select(*names, "text").mapInArrow(run, f"{kind}, shingles array<long>")
-
-
-def _unlike(similarity: float):
-    """Of a root's texts, by their number n: those that reach the similarity with none taken before."""
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("n").drop_columns("n")
-        sets = [np.asarray(s.values) for s in rows["shingles"]]
-        taken = []
-        for i, mine in enumerate(sets):
-            for its in (sets[j] for j in taken):
-                shared = min(len(mine), len(its))
-                if shared >= similarity * max(len(mine), len(its)):
-                    shared = len(np.intersect1d(mine, its, assume_unique=True))
-                    if shared >= similarity * (len(mine) + len(its) - shared):
-                        break
-            else:
-                taken.append(i)
-        return rows.take(pa.array(taken, pa.int64()))
-    return run
-
-
-def _representatives(left: DataFrame, similarity: float) -> DataFrame:
-    """(id, digest) of the texts to keep of (root, id, digest, shingles), see keep_one.
-
-    A round compares the next texts of each root with each other, and what is left of the root with those
-    of them that it keeps. Most roots need one round, as do many copies of one text.
-    """
-    kind = ", ".join(f"{n} {t}" for n, t in left.dtypes)
-    by_root = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "digest")
-    kept = None
-    while True:
-        next_ = checkpoint(left.withColumn("n", F.row_number().over(by_root)).where(F.col("n") <= ROUND_TEXTS))
-        taken = checkpoint(next_.groupBy("root").applyInArrow(_unlike(similarity), kind))
-        found = taken.select("id", "digest")
-        kept = found if kept is None else kept.unionByName(found)
-        more = checkpoint(left.groupBy("root").count().where(F.col("count") > ROUND_TEXTS).select("root"))
-        if more.isEmpty():
-            return kept
-        rest = left.join(more, "root", "left_semi").join(next_.select("digest"), "digest", "left_anti")
-        its = checkpoint(taken.join(more, "root", "left_semi").groupBy("root").agg(F.collect_list("shingles").alias("its")))
-        shared = lambda x: F.size(F.array_intersect("shingles", x))
-        alike = F.exists("its", lambda x: shared(x) >= similarity * (F.size("shingles") + F.size(x) - shared(x)))
-        left = checkpoint(rest.join(its, "root").where(~alike).select(*left.columns))
-
-
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS,
-             similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """The rows of docs with exactly their columns, less near-duplicates.
-
-    Fingerprints are linked within the budget or by a band of MinHash values of the `words`-word shingles, which
-    finds similar texts whose fingerprints are far apart. The texts of each component are taken in order of their smallest id (nulls last, then
-    the smallest digest of the text). A text goes if its set of `words`-word shingles has at least this Jaccard
-    similarity with that of any text kept before; else the row of its smallest id stays (of rows that repeat it in
-    both, one). So no two kept texts of a component reach the similarity. Null and empty texts are equal texts.
-    """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = checkpoint(fingerprints(docs, text, [F.col(id), F.md5(whole)], shingle, words)).toDF("id", "digest", "fingerprint", "bands")
-    members = rows.drop("bands").join(checkpoint(classes(rows, bits, _band_links(rows))), "fingerprint").select("root", "digest", "id")
-    # one row for each text: its smallest id; a row number limited to 1 is cut before the shuffle
-    by_text = Window.partitionBy("root", "digest").orderBy(F.col("id").asc_nulls_last())
-    texts = checkpoint(members.withColumn("n", F.row_number().over(by_text)).where("n = 1").select("root", "id", "digest"))
-    # the texts of components with several
-    several = checkpoint(texts.groupBy("root").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a < b").select("root"))
-    wanted = checkpoint(texts.join(several, "root", "left_semi"))
-    digests = wanted.select("digest")
-    digests = F.broadcast(digests) if wanted.count() <= BROADCAST_TEXTS else digests
-    bodies = docs.select(F.md5(whole).alias("digest"), whole.alias("text")).join(digests, "digest", "left_semi")
-    any_row = F.row_number().over(Window.partitionBy("digest").orderBy("digest"))
-    bodies = bodies.withColumn("n", any_row).where("n = 1").drop("n")
-    sets = checkpoint(_shingle_sets(wanted.join(bodies, "digest").select("root", "id", "digest", "text"), words))
-    kept = texts.join(several, "root", "left_anti").select("id", "digest").unionByName(_representatives(sets, similarity))
-    # ids as text that is never null: join and window then share one shuffle of the rows, of which a row number
-    # limited to 1 sends on one of each
-    named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
-    key, mark, row = fresh("id"), fresh("digest"), fresh("row")
-    kept = checkpoint(kept.select(named(F.col("id")).alias(key), F.col("digest").alias(mark)))
-    full = docs.select(F.struct(*docs.columns).alias(row), named(F.col(id)).alias(key), F.md5(whole).alias(mark))
-    once = full.withColumn("n", F.row_number().over(Window.partitionBy(key, mark).orderBy(mark))).where("n = 1")
-    return once.join(kept, [key, mark], "left_semi").select(f"{row}.*")
