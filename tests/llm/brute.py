@@ -21,8 +21,8 @@ def rule_metrics(text):
     }
 
 
-def bad_hosts(rows, limit):
-    """rows: (host, failed). The hosts whose shrunken rate exceeds the limit."""
+def host_rates(rows):
+    """rows: (host, failed). The hosts' shrunken rates and the mean of the prior."""
     n, f = Counter(), Counter()
     for host, failed in rows:
         if host is not None:
@@ -30,11 +30,26 @@ def bad_hosts(rows, limit):
             f[host] += failed
     rates = [f[h] / n[h] for h in n]
     if not rates:
-        return set()
+        return {}, 0.0
     m = sum(rates) / len(rates)
     v = sum((r - m) ** 2 for r in rates) / len(rates)
     k = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v > 0 else 1000.0
-    return {h for h in n if (f[h] + m * k) / (n[h] + k) > limit}
+    return {h: (f[h] + m * k) / (n[h] + k) for h in n}, m
+
+
+def kept_by_rules(rows):
+    """rows: (id, text, source). For each its metrics and whether base rules and the host's verdict let it stay."""
+    from tablestore.llm import rules
+
+    metrics = [rule_metrics(t) for _, t, _ in rows]
+    some = [100 * m["n_symbols"] > rules.MAX_SYMBOL_PERCENT * m["word_chars"] or m["n_dup_lines"] > rules.MAX_DUP_LINES
+            or 100 * m["n_repeat_words"] > rules.MAX_SOME_REPEAT_PERCENT * m["n_words"] for m in metrics]
+    rates, mean = host_rates([(s, m["base_failed"] or x) for (_, _, s), m, x in zip(rows, metrics, some)])
+    out = []
+    for (_, _, s), m, x in zip(rows, metrics, some):
+        falls = s is not None and (rates[s] > rules.MAX_HOST_RATE or rates[s] > rules.SUSPECT * mean and x)
+        out.append((m, not m["base_failed"] and not falls))
+    return out
 
 
 def judge_url(url, listed, default="allow"):
