@@ -62,7 +62,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedupe(table(spark, sf_dir, "documents")).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+    # more batches than runs may stay, so that history is joined, compacted and joined again
+    return substring.dedupe(table(spark, sf_dir, "documents"), batches=4, max_runs=2).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,12 +126,14 @@ dups as (select doc_id, count(*) - count(distinct line) as n from lines where re
 metrics as (select a.doc_id, a.source, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
     cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(d.n, 0) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words
     from texts a left join dups d on a.doc_id = d.doc_id left join covered c on a.doc_id = c.doc_id),
-judged as (select *, n_words < {rules.MIN_WORDS} or 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words as base_failed from metrics),
-hosts as (select source, count(*) as n, sum(case when base_failed then 1 else 0 end) as failed from judged where source is not null group by source),
+judged as (select *, n_words < {rules.MIN_WORDS} or 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words as base_failed,
+    100 * n_symbols > {rules.MAX_SYMBOL_PERCENT} * word_chars or n_dup_lines > {rules.MAX_DUP_LINES} or 100 * n_repeat_words > {rules.MAX_SOME_REPEAT_PERCENT} * n_words as some_failed from metrics),
+hosts as (select source, count(*) as n, sum(case when base_failed or some_failed then 1 else 0 end) as failed from judged where source is not null group by source),
 prior as (select m, case when v > 0 then least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) else 1000.0 end as k from (select avg(failed / n) as m, var_pop(failed / n) as v from hosts) x),
-bad as (select source from hosts cross join prior where (failed + m * k) / (n + k) > {rules.MAX_HOST_RATE})
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and b.source is null as kept
-from judged j left join bad b on j.source = b.source""",
+verdicts as (select source, (failed + m * k) / (n + k) as rate, m from hosts cross join prior)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    not base_failed and coalesce(rate <= {rules.MAX_HOST_RATE} and not (rate > {rules.SUSPECT} * m and some_failed), true) as kept
+from judged j left join verdicts v on j.source = v.source""",
     "op10_mixing": f"""
 with sized as (select doc_id, source, cast(len({WORDS}) as bigint) as size,
     md5(case when doc_id is null then '{mixing.SEED}||' || md5(coalesce(text, '')) else '{mixing.SEED}|' || doc_id end) as key from documents),
