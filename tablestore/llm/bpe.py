@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablestore.llm.common import quoted, release_memory, text_slices
+
 #: Fixed value: the public pattern that cuts text into pieces before byte-level merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and token pairs that a worker remembers, some 70 MB each at most.
@@ -202,30 +204,32 @@ def encode(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "te
 
     `vocabulary` is the text of a tokenizers JSON file, a few MB, which is broadcast. Null texts count as empty:
     no tokens. Decoding goes back from the ids; bytes that are no UTF-8 would be replaced, which never happens
-    for the ids of a text. Repeated rows get equal results.
+    for the ids of a text. Repeated rows get equal results; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    rows = docs.select(F.struct(F.col(id).alias("id"), *(F.col(c) for c in carry)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(quoted(id).alias("id"), *(quoted(c) for c in carry)).alias("row"), F.coalesce(quoted(text), F.lit("")).alias("text"))
     kind = T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
                          *[T.StructField("token_ids", T.ArrayType(T.IntegerType()))] * with_ids])
 
     def run(batches):
         voc = load(shared.value)
-        for b in batches:
-            n, marks, decoded, lists = [], [], [], []
-            for t in b.column("text"):
-                decimals, ids = voc.encode(t.as_py())
-                n.append(len(ids))
-                marks.append(hashlib.sha256(decimals.encode()).hexdigest())
-                back = voc.decode(ids).decode("utf-8", "replace")
-                decoded.append(hashlib.sha256(back.encode()).hexdigest())
+        for batch in batches:
+            for b in text_slices(batch):
+                n, marks, decoded, lists = [], [], [], []
+                for t in b.column("text"):
+                    decimals, ids = voc.encode(t.as_py())
+                    n.append(len(ids))
+                    marks.append(hashlib.sha256(decimals.encode()).hexdigest())
+                    back = voc.decode(ids).decode("utf-8", "replace")
+                    decoded.append(hashlib.sha256(back.encode()).hexdigest())
+                    if with_ids:
+                        lists.append(ids)
+                out = [b.column("row"), pa.array(n, pa.int64()), pa.array(marks, pa.string()), pa.array(decoded, pa.string())]
                 if with_ids:
-                    lists.append(ids)
-            out = [b.column("row"), pa.array(n, pa.int64()), pa.array(marks, pa.string()), pa.array(decoded, pa.string())]
-            if with_ids:
-                ends = np.append(0, np.cumsum(n)).astype(np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32), pa.int32())))
-            yield pa.RecordBatch.from_arrays(out, names=["row", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][:len(out)])
+                    ends = np.append(0, np.cumsum(n)).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists), pa.int32())))
+                yield pa.RecordBatch.from_arrays(out, names=["row", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][:len(out)])
+        release_memory()
 
     got = rows.mapInArrow(run, kind)
-    return got.select(F.col("row.id").alias(id), *(F.col(f"row.{c}").alias(c) for c in carry), *got.columns[1:])
+    return got.select(F.col("row.id").alias(id), *(F.col("row")[c].alias(c) for c in carry), *got.columns[1:])
