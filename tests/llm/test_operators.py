@@ -557,8 +557,23 @@ def test_mix(spark, sf, docs, awkward, empty):
     assert words == sum(r.taken for r in mixing.mix(awkward).collect())
 
 
-def test_targets():
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
-    got = mixing.targets({"a": 1, "b": 100, None: 899})
+def test_targets(spark):
+    def targets(sizes):
+        rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        return {r.source: r.target for r in mixing.budgets(rows).collect()}
+
+    assert targets({}) == {} and targets({"a": 0}) == {"a": 0.0}
+    got = targets({"a": 1, "b": 100, None: 899})
     assert got["a"] == 3 and got["b"] == 300 and got[None] == 697
-    assert sum(mixing.targets({"a": 10, "b": 20, "c": 70, "d": 5}).values()) == pytest.approx(105)
+    assert sum(targets({"a": 10, "b": 20, "c": 70, "d": 5}).values()) == pytest.approx(105)
+
+
+def test_mix_of_repeated_rows_and_of_ranges_divided_again(spark, monkeypatch):
+    rows = [(i % 40, f"w{i % 40} x y z", f"s{i % 3}") for i in range(400)] + [(None, "one two three", "s1")] * 50 + [(7, "a b", "s2")] * 30
+    want = order((i, n, s, round(t, 6), k) for i, n, s, t, k in brute.mix(rows, mixing.WEIGHTS, mixing.MAX_EPOCHS, brute.mix_key(mixing.SEED)))
+    df = spark.createDataFrame(rows, KIND)
+    for most, digits in ((mixing.RANGE_ROWS, 1), (60, 1), (5, 12)):
+        monkeypatch.setattr(mixing, "RANGE_ROWS", most)
+        monkeypatch.setattr(mixing, "RANGE_DIGITS", digits)
+        got = mixing.mix(df)
+        assert order((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got.collect()) == want
