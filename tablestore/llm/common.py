@@ -93,7 +93,7 @@ def parts_for(spark: SparkSession, total_bytes: int, each: int = CHUNK_BYTES) ->
     return max(shuffle_partitions(spark), -(-total_bytes // each), 1)
 
 
-def grid_parts(spark: SparkSession, total_bytes: int, block: int = 64 << 10, most: int = 256 << 20) -> int:
+def grid_parts(spark: SparkSession, total_bytes: int, block: int = 16 << 10, most: int = 256 << 20) -> int:
     """Parts for an exchange in which every part sends a block to every part.
 
     A part grows with the square root of the input, so that blocks stay near `block` bytes and their number in
@@ -122,6 +122,24 @@ def release_memory() -> None:
         pass  # another C library
 
 
+def trimmed(function):
+    """The function of a group's table, or of two groups' tables, which gives memory back after each group."""
+    def one(key, part):
+        try:
+            return function(key, part)
+        finally:
+            release_memory()
+
+    def two(key, part, other):
+        try:
+            return function(key, part, other)
+        finally:
+            release_memory()
+
+    # Spark counts the parameters
+    return one if function.__code__.co_argcount == 2 else two
+
+
 def fresh(prefix: str = "c") -> str:
     """A column name that clashes with none of the caller's."""
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablestore.llm import blocks
-from tablestore.llm.common import checkpoint, grid_parts, quoted, release_memory, scratch_path, text_bytes, text_slices
+from tablestore.llm.common import checkpoint, grid_parts, quoted, release_memory, scratch_path, text_bytes, text_slices, trimmed
 
 WINDOW = 35
 SAMPLE = 16
@@ -144,6 +144,7 @@ def _finer(bits: int):
 
 def _merged(bits: int):
     """The rows of a range as one, in ranges of 2 ** bits."""
+    @trimmed
     def merge(key: tuple, part: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_ranges(*_in_order(*_read_rows(part)), bits)])
     return merge
@@ -159,6 +160,7 @@ def _found(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 def _hits(bits: int):
     """The keys of a batch's range that come twice in it, or in a run of history."""
+    @trimmed
     def join(key: tuple, batch: pa.Table, history: pa.Table) -> pa.Table:
         keys = _read_rows(batch)[0]
         same = keys[1:] == keys[:-1]
@@ -190,6 +192,7 @@ def _split(owners: np.ndarray) -> tuple[np.ndarray, list[slice]]:
 
 def _candidates(window: int, sample: int, buckets: int):
     """The windows of a chunk whose anchor occurs more than once, as distinct 128-bit hashes, marked if repeated here."""
+    @trimmed
     def find(key: tuple, part: pa.Table, answers: pa.Table) -> pa.Table:
         w = Windows(part["text"], window, sample)
         starts = np.zeros(0, np.int64)
@@ -281,6 +284,7 @@ def _as_they_are(window: int, sample: int, with_text: bool):
 
 
 def _remove(window: int, sample: int, with_text: bool):
+    @trimmed
     def remove(key: tuple, part: pa.Table, answers: pa.Table) -> pa.Table:
         return pa.table(_cleared(window, sample, with_text, part.filter(part["new"]), answers))
     return remove
