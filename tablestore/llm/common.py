@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SPACES = "\t\n\x0b\x0c\r "
 #: Bytes of text that one task handles at a time.
 CHUNK_BYTES = 4 << 20
+#: Rows of a file of a checkpoint of small rows, about.
+FILE_ROWS = 50_000
 #: Bytes of text that are turned into Python objects or arrays of words at a time.
 SLICE_BYTES = 2 << 20
 
@@ -36,9 +38,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so that lost executors lose nothing."""
+def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage through the shared folder, so that lost executors lose nothing.
+
+    `rows`: about how many there are at most, if they are few and cheap to make: they are then written in few files. Each
+    file costs time, and on local disks without Hadoop's native library a process.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     return df.checkpoint(eager=True)
 
 

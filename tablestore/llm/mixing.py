@@ -72,19 +72,20 @@ def _cuts(docs: DataFrame, id: str, text: str, source: str, weights: tuple, max_
     sized = names.keyed(docs, id, text, source, [_count(quoted(text)).alias(size)])
     cells = sized.groupBy(src, F.substring(key, 1, RANGE_DIGITS).alias("range")).agg(F.sum(size).alias("words"), F.count(F.lit(1)).alias("n"))
     cells = checkpoint(cells)
+    n = cells.count()
     real = F.when(F.col(src) != "0", F.expr(f"substring({src}, 2)"))
     plan = budgets(cells.groupBy(src).agg(F.sum("words").alias("source_size")).withColumn("source", real), weights, max_epochs).drop("source")
     whole = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(max_epochs).cast("long"), F.expr("floor(target) div source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.when(F.col("epochs") < max_epochs, whole - F.col("epochs") * F.col("source_size")).otherwise(0))
-    plan = checkpoint(plan)
+    plan = checkpoint(plan, n)
     # the range in which the rest ends, and the words before it
     open_ = plan.where("rest > 0").select(src, F.col("rest"), F.lit("").alias("range"))
     digits = RANGE_DIGITS
     while True:
         in_order = Window.partitionBy(src).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
         placed = cells.withColumn("before", F.coalesce(F.sum("words").over(in_order), F.lit(0))).join(open_.select(src, "rest"), src)
-        open_ = checkpoint(placed.where("before < rest and rest <= before + words").select(src, (F.col("rest") - F.col("before")).alias("rest"), "range", "n"))
+        open_ = checkpoint(placed.where("before < rest and rest <= before + words").select(src, (F.col("rest") - F.col("before")).alias("rest"), "range", "n"), n)
         if digits >= 32 or (open_.agg(F.max("n")).first()[0] or 0) <= RANGE_ROWS:
             break
         inside = names.keyed(docs, id, text, source, [quoted(text).alias("text")]).withColumn("range", F.substring(key, 1, digits))
@@ -99,7 +100,7 @@ def _cuts(docs: DataFrame, id: str, text: str, source: str, weights: tuple, max_
     groups = groups.withColumn("left", F.col("rest") - before).where((F.col("left") > 0) & (F.col("left") <= F.col(size) * F.col("ties")))
     ahead = F.expr(f"(left - 1) div {size}")
     ends = groups.select(src, F.col(key).alias("cut_key"), F.col(size).alias("cut_size"), (F.col("left") - ahead * F.col(size)).alias("cut"), ahead.alias("ahead"), "ties")
-    return checkpoint(plan.drop("rest").join(ends, src, "left"))
+    return checkpoint(plan.drop("rest").join(ends, src, "left"), n)
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",

@@ -123,7 +123,7 @@ def _grouped(fps: DataFrame, bits: int) -> DataFrame:
         rows = rows.select("fingerprint", F.explode(following).alias("s")).select(
             "fingerprint", F.col("s.path").alias("path"), F.xxhash64("s.path", F.col("fingerprint").bitwiseAND(F.col("s.mask"))).alias("group"))
         if i + 1 < len(levels):
-            hot = checkpoint(rows.groupBy("group").count().where(F.col("count") > HOT_GROUP).select(F.col("group").alias("hot")))
+            hot = checkpoint(rows.groupBy("group").count().where(F.col("count") > HOT_GROUP).select(F.col("group").alias("hot")), 0)
             n = hot.count()
         if i + 1 == len(levels) or not n:
             out = rows.select("group", "fingerprint")
@@ -222,9 +222,10 @@ def classes(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """(fingerprint, root) for each distinct fingerprint of `fps`; the root stands for its component."""
     fps = checkpoint(fps.select("fingerprint").distinct())
     rows = checkpoint(_grouped(fps, bits))
-    parts = max(shuffle_partitions(fps.sparkSession), -(-rows.count() // TASK_ROWS))
+    several = rows.count()
+    parts = max(shuffle_partitions(fps.sparkSession), -(-several // TASK_ROWS))
     links = rows.repartition(parts, "group").mapInArrow(_trie_task(bits), "u long, v long")
-    roots = connected(links)
+    roots = connected(links, several // (bits + 1))
     return fps.join(roots, fps.fingerprint == roots.node, "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
 
 

@@ -92,7 +92,7 @@ def with_verdicts(judged: DataFrame, host: str = "source", max_rate: float = MAX
     A null host has no verdict: the base rules decide alone. Only fallen and suspect hosts take part in the join; they are
     broadcast if their number is within BROADCAST_HOSTS, and otherwise joined by shuffle, where Spark splits hot hosts.
     """
-    verdicts = checkpoint(host_verdicts(judged, host, max_rate).where("verdict != 'ok'"))
+    verdicts = checkpoint(host_verdicts(judged, host, max_rate).where("verdict != 'ok'"), BROADCAST_HOSTS)
     key, flag = fresh("host"), fresh("verdict")
     bad = verdicts.select(F.col("host").alias(key), F.col("verdict").alias(flag))
     if verdicts.count() <= BROADCAST_HOSTS:

@@ -397,7 +397,7 @@ class FingerprintIndex:
         parts = max(1, min(1 << finest, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))) if finest < 12 else 1 << finest
         runs, hits = self._read(self.runs(), RUN, finest).repartition(parts, "bucket"), self._read(wanted, HITS, finest).repartition(parts, "bucket")
         found = checkpoint(runs.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_owners, "slot long, key long"))
-        slots = checkpoint(found.select("slot").distinct())
+        slots = checkpoint(found.select("slot").distinct(), self.SLOTS)
         slots = F.broadcast(slots) if slots.count() <= BROADCAST_SLOTS else slots
         calm = whole.where("new").join(slots, "slot", "left_anti").select("text", "row").mapInArrow(_as_they_are(self.window, self.sample, with_text), out)
         owning = whole.join(slots, "slot", "left_semi")
