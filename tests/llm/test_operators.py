@@ -354,22 +354,69 @@ def test_neighbours_reach_the_promised_recall(spark, sf):
     assert hit / total >= 0.9
 
 
+def nearest_by_hand(rows, k=5):
+    """rows: (id, vector). For each query row its list of (id, score), by exact fractions."""
+    from fractions import Fraction
+    from math import isfinite, sqrt
+
+    ok = [(i, v) for i, v in rows if i is not None and v and all(x is not None and isfinite(x) for x in v) and any(v)]
+    out = []
+    for a, (i, v) in enumerate(ok):
+        if i % 50 == 0:
+            found = []
+            for b, (j, w) in enumerate(ok):
+                if a != b and len(v) == len(w):
+                    dot, sizes = sum(Fraction(x) * Fraction(y) for x, y in zip(v, w)), sum(Fraction(x) ** 2 for x in v) * sum(Fraction(x) ** 2 for x in w)
+                    square = dot * dot / sizes * (1 if dot > 0 else -1)
+                    found.append((-square, j, (1 if dot > 0 else -1) * sqrt(abs(square))))
+            out.append((i, [(j, round(s, 9)) for _, j, s in sorted(found)[:k]]))
+    return sorted(out, key=repr)
+
+
+def found_by(df):
+    by, out = {}, []
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    for i, found in by.items():
+        # rows that repeat a query's id have lists of their own, which are equal but for the order
+        n = sum(r == 1 for r, _, _ in found)
+        assert sorted(r for r, _, _ in found) == sorted([*range(1, len(found) // n + 1)] * n)
+        out.append((i, n, sorted(found)))
+    return sorted(out)
+
+
+def check_nearest(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("id", "rank", "row", "vector", "cell")})
+    want = {}
+    for i, found in nearest_by_hand(rows):
+        want.setdefault(i, []).extend((r + 1, j, s) for r, (j, s) in enumerate(found))
+    got = found_by(df)
+    assert {i: f for i, _, f in got} == {i: sorted(f) for i, f in want.items() if f}
+
+
 def test_neighbours_of_awkward_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [1.0, None]), (5, []), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [1.0, 2.0, 3.0])]
-    rows += [(100 + i, [2.0, 0.0]) for i in range(20)] + [(50, [0.0, 1.0]), (50, [0.0, 1.0]), (8, [-1.0, 0.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash")).withColumn("rank", F.lit(9))
-    got = {}
-    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
-    assert got[0] == [(100 + i, 1.0) for i in range(5)]
-    assert got[100] == [(0, 1.0), (101, 1.0), (102, 1.0), (103, 1.0), (104, 1.0)]
-    assert got[50] == [(0, 0.0), (8, 0.0), (100, 0.0), (101, 0.0), (102, 0.0)] and set(got) == {0, 50, 100}
-    few = neighbours.nearest(df.where("vec_id in (0, 50)"), F.col("vec_id") % 50 == 0).collect()
-    assert order((r.query_id, r.vec_id) for r in few) == [(0, 50), (50, 0)]
+    rows += [(100 + i, [2.0, 0.0]) for i in range(20)] + [(50, [0.0, 1.0]), (50, [0.0, 1.0]), (8, [-1.0, 0.0]), (150, [3.0, 2.0, 1.0]), (200, [5.0])]
+    check_nearest(spark, rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    few = neighbours.nearest(df.where("vec_id in (0, 8)"), F.col("vec_id") % 50 == 0).collect()
+    assert [(r.query_id, r.vec_id) for r in few] == [(0, 8)]
     assert neighbours.nearest(df.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_among_parallel_vectors_and_repeated_ids(spark):
+    v = [0.3, -0.7, 1.1]
+    check_nearest(spark, [(i, [i * x for x in v]) for i in range(1, 61)] + [(99, [1.0, 0.0, 0.0])])
+    check_nearest(spark, [(1, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (50, [1.0, 0.2]), (50, [0.1, 1.0]), (2, [1.0, 1.0]), (3, [1.0, 1.0]), (4, [2.0, 2.0])])
+
+
+def test_windows_do_not_shrink_as_ranges_grow():
+    for n in (100, 500, 2_000, 51_000, 700_000, 5_000_000, 10**8):
+        space = neighbours._Space(8, n, 1, neighbours.REACH)
+        assert 2 * space.window + 1 >= neighbours.REACH * space.ranges and n / space.ranges <= neighbours.RANGE_ROWS
+
+
 def test_hilbert_is_a_walk():
     side = np.arange(16)
     cells = np.stack(np.meshgrid(side, side, indexing="ij"), -1).reshape(-1, 2)
