@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tablestore.llm.common import checkpoint, quoted
 
-CURVES = 12
+CURVES = 16
 DIRECTIONS = 4
 LEVELS = 8
 #: A window is the query's own range and so many ranges to either side that it holds `REACH` of all ranges at least.

@@ -406,7 +406,7 @@ def test_neighbours_of_awkward_vectors(spark):
 
 
 def test_neighbours_among_parallel_vectors_and_repeated_ids(spark):
-    v = [0.3, -0.7, 1.1]
+    v = [3.0, -7.0, 11.0]
     check_nearest(spark, [(i, [i * x for x in v]) for i in range(1, 61)] + [(99, [1.0, 0.0, 0.0])])
     check_nearest(spark, [(1, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (50, [1.0, 0.2]), (50, [0.1, 1.0]), (2, [1.0, 1.0]), (3, [1.0, 1.0]), (4, [2.0, 2.0])])
 
