@@ -29,7 +29,7 @@ RANGES = 32
 REACH = 3 / 32
 #: Vectors of a range, about, at most and at least: the number of ranges grows with the table in steps of RANGES.
 RANGE_ROWS = 20_000
-MIN_ROWS = 16
+MIN_ROWS = 64
 SEED = 7
 
 
@@ -71,10 +71,10 @@ class Curves:
         self.spread = 8 / np.sqrt(size)
 
     def keys(self, vectors: np.ndarray) -> np.ndarray:
-        """A key for each vector and curve; the low bits tell vectors of one cell apart at random, by their hash."""
+        """A key for each vector and curve; the low bits tell directions in one cell apart at random."""
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         side = 1 << self.levels
-        salt = _salt(vectors)
+        salt = _salt(unit)
         out = []
         for axes, shift in zip(self.axes, self.shifts):
             at = (unit @ axes) / self.spread + 0.5 + shift / 4
@@ -83,9 +83,10 @@ class Curves:
         return np.stack(out, 1)
 
 
-def _salt(vectors: np.ndarray) -> np.ndarray:
-    bits = np.ascontiguousarray(vectors, np.float64).view(np.uint64)
-    mixed = (bits * np.arange(1, 2 * bits.shape[1], 2, dtype=np.uint64)).sum(1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def _salt(unit: np.ndarray) -> np.ndarray:
+    """A hash of the direction to some digits, so that parallel vectors stay together."""
+    digits = np.rint(unit * 1e6).astype(np.int64).view(np.uint64)
+    mixed = (digits * np.arange(1, 2 * digits.shape[1], 2, dtype=np.uint64)).sum(1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (mixed >> np.uint64(44)).astype(np.int64)
 
 
