@@ -128,7 +128,7 @@ def shard(docs: DataFrame, shards: int = 16, id: str = "doc_id", text: str = "te
         base = key[0].as_py() << 32
         return pa.table({"key": part["key"], "size": part["size"], "crate": pa.array([base + b for b in bins], pa.int64())})
 
-    packed = groups.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells))).groupBy("cell").applyInArrow(crates, "key string, size long, crate long")
+    packed = groups.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells))).repartition(max(shuffle_partitions(spark), cells // 4), "cell").groupBy("cell").applyInArrow(crates, "key string, size long, crate long")
     packed = checkpoint(packed)
     # at most 2 * total / capacity + cells crates: two crates of a cell are never both less than half full
     sums = packed.groupBy("crate").agg(F.sum("size").alias("size")).orderBy("crate").toArrow()
