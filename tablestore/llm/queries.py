@@ -29,6 +29,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def url_rules(spark: SparkSession) -> DataFrame:
+    """The fixed rules as rows, without Python on the executors."""
+    return spark.sql(f"select * from values {', '.join(map(str, URL_RULES))} as rules(host, path, verdict)")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,8 +47,7 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    return urls.judge(table(spark, sf_dir, "pages"), listed)
+    return urls.judge(table(spark, sf_dir, "pages"), url_rules(spark))
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
