@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablestore.llm import blocks
-from tablestore.llm.common import checkpoint, grid_parts, text_bytes, trimmed
+from tablestore.llm.common import grid_parts, text_bytes, trimmed
 
 #: Weight of the unigrams, in words.
 PRIOR_WORDS = 100.0
@@ -111,8 +111,8 @@ def _ask(buckets: int):
         chunk = Chunk(part["text"], np.asarray(part["learn"]))
         rows = {"bucket": [], "chunk": [], "data": []}
         w, p = blocks.bucket_edges(chunk.word_keys, buckets), blocks.bucket_edges(chunk.pair_keys, buckets)
-        # ranges that the chunk has no key in get nothing
-        for b in np.flatnonzero((np.diff(w) > 0) | (np.diff(p) > 0)).tolist():
+        # every range is asked, for its totals
+        for b in range(buckets):
             pieces = [blocks.squeeze_sorted(chunk.word_keys[w[b]:w[b + 1]]), blocks.squeeze(chunk.word_counts[w[b]:w[b + 1]]),
                       blocks.squeeze_sorted(chunk.pair_keys[p[b]:p[b + 1]]), blocks.squeeze(chunk.pair_counts[p[b]:p[b + 1]])]
             rows["bucket"].append(b)
@@ -140,25 +140,24 @@ def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
 
 @trimmed
 def _answer(key: tuple, part: pa.Table) -> pa.Table:
-    """The sums of a range, for each chunk in its order; one row more has the range's totals."""
+    """The sums of a range, for each chunk in its order, with the range's totals."""
     asked = [_cut(x, 4) for x in part["data"].to_pylist()]
     word_sums, words = _sum([blocks.unsqueeze_sorted(x[0]) for x in asked], [blocks.unsqueeze(x[1]) for x in asked])
     _, pairs = _sum([blocks.unsqueeze_sorted(x[2]) for x in asked], [blocks.unsqueeze(x[3]) for x in asked])
-    data = [_join([blocks.squeeze(w), blocks.squeeze(p)]) for w, p in zip(words, pairs)]
-    n, none = len(data), [None] * len(data)
-    return pa.table({
-        "bucket": pa.array([*part["bucket"].to_pylist(), None], pa.int32()), "chunk": pa.array([*part["chunk"].to_pylist(), None], pa.int64()), "data": pa.array([*data, None], pa.binary()),
-        "total": pa.array([*none, int(word_sums.sum())], pa.int64()), "distinct": pa.array([*none, int((word_sums > 0).sum())], pa.int64())})
+    totals = struct.pack("<2Q", int(word_sums.sum()), int((word_sums > 0).sum()))
+    data = [_join([totals, blocks.squeeze(w), blocks.squeeze(p)]) for w, p in zip(words, pairs)]
+    return pa.table({"bucket": part["bucket"], "chunk": part["chunk"], "data": pa.array(data, pa.binary())})
 
 
-def _score(prior: float, total: int, distinct: int):
+def _score(prior: float):
     @trimmed
     def score(key: tuple, part: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(part["text"], np.asarray(part["learn"]))
-        got = [_cut(x, 2) for x in answers.sort_by("bucket")["data"].to_pylist()]
-        word_counts, pair_counts = (np.concatenate([np.zeros(0, np.uint64), *(blocks.unsqueeze(x[i]) for x in got)]) for i in (0, 1))
+        got = [_cut(x, 3) for x in answers.sort_by("bucket")["data"].to_pylist()]
+        word_counts, pair_counts = (np.concatenate([blocks.unsqueeze(x[i]) for x in got]) for i in (1, 2))
         if len(word_counts) != len(chunk.word_keys) or len(pair_counts) != len(chunk.pair_keys):
             raise ValueError("the texts of a chunk changed while they were scored")
+        total, distinct = (sum(x) for x in zip(*(struct.unpack("<2Q", x[0]) for x in got)))
         model = Automaton(chunk, word_counts, pair_counts, total, distinct, prior)
         n_known, base, scores = [], [], []
         known = np.append(0, np.cumsum(word_counts[chunk.word_at] > 0))
@@ -187,11 +186,9 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
     parts = grid_parts(spark, text_bytes(rows), block=64 << 10)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(parts))).repartition(parts, "chunk")
     asked = rows.groupBy("chunk").applyInArrow(_ask(parts), "bucket int, chunk long, data binary").repartition(parts, "bucket")
-    answers = checkpoint(asked.groupBy("bucket").applyInArrow(_answer, "bucket int, chunk long, data binary, total long, distinct long"))
-    total, distinct = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    answers = answers.where("chunk is not null").select("bucket", "chunk", "data").repartition(parts, "chunk")
+    answers = asked.groupBy("bucket").applyInArrow(_answer, "bucket int, chunk long, data binary").repartition(parts, "chunk")
     kind = f"id {dict(rows.dtypes)['id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(prior, total, distinct), kind).withColumnRenamed("id", id)
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(prior), kind).withColumnRenamed("id", id)
 
 
 def in_training(id: Column) -> Column:
