@@ -118,7 +118,7 @@ def _ask(buckets: int):
             rows["bucket"].append(b)
             rows["chunk"].append(key[0].as_py())
             rows["data"].append(_join(pieces))
-        return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "chunk": pa.array(rows["chunk"], pa.int64()), "data": pa.array(rows["data"], pa.binary())})
+        return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "chunk": pa.array(rows["chunk"], pa.int32()), "data": pa.array(rows["data"], pa.binary())})
     return ask
 
 
@@ -182,11 +182,11 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    # as many tasks as chunks, whatever the session's number of partitions is
+    # a task for each chunk and each range, whatever the session's number of partitions is
     parts = grid_parts(spark, text_bytes(rows), block=64 << 10)
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(parts))).repartition(parts, "chunk")
-    asked = rows.groupBy("chunk").applyInArrow(_ask(parts), "bucket int, chunk long, data binary").repartition(parts, "bucket")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "bucket int, chunk long, data binary").repartition(parts, "chunk")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int")).repartitionById(parts, "chunk")
+    asked = rows.groupBy("chunk").applyInArrow(_ask(parts), "bucket int, chunk int, data binary").repartitionById(parts, "bucket")
+    answers = asked.groupBy("bucket").applyInArrow(_answer, "bucket int, chunk int, data binary").repartitionById(parts, "chunk")
     kind = f"id {dict(rows.dtypes)['id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(prior), kind).withColumnRenamed("id", id)
 
