@@ -98,22 +98,32 @@ class Ordinal:
         m, v = np.zeros_like(p), np.zeros_like(p)
         size = len(p) - top
         for step in range(1, STEPS + 1):
-            model = cls(p[:size], cls.rising(p[size:]))
-            below = model.below(np.bincount(rows, model.weights[number] * value, n))
-            padded = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], 1)
-            slope = np.concatenate([np.zeros((n, 1)), below * (1 - below), np.zeros((n, 1))], 1)
-            at = np.arange(n)
-            chance = np.maximum(padded[at, grades + 1] - padded[at, grades], 1e-9)
-            up, low = slope[at, grades + 1] / chance, slope[at, grades] / chance
-            score = (up - low) / n
-            gradient = np.bincount(number, value * np.repeat(score, np.diff(starts)), size) + DECAY * p[:size]
-            cut = -np.array([np.sum(up[grades == g]) - np.sum(low[grades == g + 1]) for g in range(top)]) / n
-            gaps = np.append(cut.sum(), [cut[g:].sum() * np.exp(p[size + g]) for g in range(1, top)])
-            gradient = np.append(gradient, gaps)
+            _, gradient = cls.loss(p, size, number, value, rows, grades)
             m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient ** 2
             p = p - RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
         return cls(p[:size].astype(np.float32), cls.rising(p[size:]))
 
+    @classmethod
+    def loss(cls, p: np.ndarray, size: int, number: np.ndarray, value: np.ndarray, rows: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray]:
+        """The mean negative log-likelihood with weight decay, and its gradient.
+
+        p holds `size` weights, then the first threshold and the logs of the gaps above it. Feature `number` of row
+        `rows` has `value`.
+        """
+        n, top = len(grades), len(p) - size
+        model = cls(p[:size], cls.rising(p[size:]))
+        below = model.below(np.bincount(rows, model.weights[number] * value, n))
+        padded = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], 1)
+        slope = np.concatenate([np.zeros((n, 1)), below * (1 - below), np.zeros((n, 1))], 1)
+        at = np.arange(n)
+        chance = np.maximum(padded[at, grades + 1] - padded[at, grades], 1e-9)
+        up, low = slope[at, grades + 1] / chance, slope[at, grades] / chance
+        score = (up - low) / n
+        gradient = np.bincount(number, value * score[rows], size) + DECAY * p[:size]
+        cut = -np.array([np.sum(up[grades == g]) - np.sum(low[grades == g + 1]) for g in range(top)]) / n
+        gaps = np.append(cut.sum(), [cut[g:].sum() * np.exp(p[size + g]) for g in range(1, top)])
+        return -np.log(chance).mean() + DECAY / 2 * np.sum(p[:size] ** 2), np.append(gradient, gaps)
+
     @staticmethod
     def rising(free: np.ndarray) -> np.ndarray:
         return free[0] + np.append(0.0, np.cumsum(np.exp(free[1:])))

@@ -449,10 +449,25 @@ def test_grades_of_unseen_documents(spark, sf):
 
 
 def test_gradient_of_the_ordinal_loss():
-    number, value, starts = np.array([0, 1, 1, 0]), np.array([1, 2, -1, 0.5]), np.array([0, 2, 3, 4, 4])
-    model = quality.Ordinal.fit(number, value.astype(np.float32), starts, np.array([0, 1, 2, 2]), 2, 2)
-    below = model.below(model.scores(number, value, starts))
-    assert (below[:, 0] < below[:, 1]).all() and below[0, 0] > below[2, 0]
+    """The loss against the probabilities written out, and its gradient against finite differences."""
+    rng = np.random.default_rng(2)
+    n, size = 30, 5
+    rows = np.repeat(np.arange(n), 3)
+    number, value, grades = rng.integers(0, size, len(rows)), rng.normal(size=len(rows)), rng.integers(0, 3, n)
+    p = np.append(rng.normal(size=size), [-0.4, 0.2])
+    loss, gradient = quality.Ordinal.loss(p, size, number, value, rows, grades)
+    first, second = p[size], p[size] + np.exp(p[size + 1])
+    total = 0.0
+    for i in range(n):
+        x = sum(p[f] * v for f, v, r in zip(number, value, rows) if r == i)
+        below = [0.0, 1 / (1 + np.exp(x - first)), 1 / (1 + np.exp(x - second)), 1.0]
+        total -= np.log(below[grades[i] + 1] - below[grades[i]])
+    assert loss == pytest.approx(total / n + quality.DECAY / 2 * sum(p[:size] ** 2))
+    for k in range(len(p)):
+        step = np.zeros(len(p))
+        step[k] = 1e-6
+        up, down = (quality.Ordinal.loss(p + s, size, number, value, rows, grades)[0] for s in (step, -step))
+        assert gradient[k] == pytest.approx((up - down) / 2e-6, abs=1e-6)
 
 
 def test_grades_of_awkward_rows(spark, awkward, empty):
