@@ -109,31 +109,40 @@ def crc(text):
     return zlib.crc32((text or "").encode())
 
 
-def bigram_scores(rows, prior):
+def trigram_scores(rows, priors):
     """rows: (id, text). id -> (held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     from math import log10
 
     def tokens(text):
         return [*("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in WORD.findall(text or "")), None]
 
+    def histories(w, at):
+        """The one and the two tokens before a token, the start of the text included; no two before the first."""
+        whole = [0, *w]
+        return (whole[at],), (whole[at - 1], whole[at]) if at else None
+
     learn = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows}
-    words, pairs, starts = Counter(), Counter(), 0
+    words, after, contexts = Counter(), Counter(), Counter()
     for i, t in rows:
         if learn[i]:
             w = tokens(t)
             words.update(w)
-            pairs.update(zip(["start of text"] + [(x,) for x in w[:-1]], w))
-            starts += 1
+            for at, x in enumerate(w):
+                for h in histories(w, at):
+                    after[h, x] += 1
+                    contexts[h] += 1
     total, distinct = sum(words.values()), len(words)
     out = {}
     for i, t in rows:
         w = tokens(t)
         base = score = 0.0
-        for before, x in zip(["start of text"] + [(y,) for y in w[:-1]], w):
+        for at, x in enumerate(w):
             p = (words[x] + 1) / (total + distinct + 1)
-            c = starts if isinstance(before, str) else words[before[0]]
             base += log10(p)
-            score += log10((pairs[before, x] + prior * p) / (c + prior))
+            for h, prior in zip(histories(w, at), priors):
+                if h is not None:
+                    p = (after[h, x] + prior * p) / (contexts[h] + prior)
+            score += log10(p)
         out[i] = (not learn[i], len(w), sum(words[x] > 0 for x in w), total, base, score)
     return out
 

@@ -77,7 +77,7 @@ def test_native_words(spark, awkward):
 
 def test_scores(spark, sf, docs):
     got = queries.op1_lm_scoring(spark, sf).collect()
-    want = brute.bigram_scores([d[:2] for d in docs], scoring.PRIOR_WORDS)
+    want = brute.trigram_scores([d[:2] for d in docs], scoring.PRIOR_WORDS)
     assert len(got) == len(docs)
     for r in got:
         w = want[r.doc_id]
@@ -90,29 +90,39 @@ def test_scores(spark, sf, docs):
 def test_a_states_arcs_add_up_to_one():
     import pyarrow as pa
 
-    train, vocabulary = ["a b a c", "a b", "c"], ["a", "b", "c", "unknown"]
-    ask = list(dict.fromkeys(f"{h} {w}".strip() for h in ["", *vocabulary] for w in [*vocabulary, ""]))
-    chunk = scoring.Chunk(pa.array(train + ask), np.array([True] * 3 + [False] * len(ask)))
+    train = ["a b a c", "a b", "c", "a b b a", "c a b c"]
+    chunk = scoring.Chunk(pa.array([*train, "unknown"]), np.array([True] * len(train) + [False]))
+    chunk.find_triples()
     total, distinct = int(chunk.word_counts.sum()), int((chunk.word_counts > 0).sum())
-    assert (total, distinct) == (10, 4)
-    model = scoring.Automaton(chunk, chunk.word_counts, chunk.pair_counts, total, distinct, 3.0)
-    sums = {}
-    for text, stop in zip(ask, chunk.stops[3:]):
-        history = text.split()[:-1] if len(text.split()) == 2 else [] if text in vocabulary else None
-        if history is not None:
-            at = stop - 2
-            state = chunk.word_at[at - 1] if history else model.start_state
-            weight = model.arcs[chunk.pair_at[at]]
-            weight = model.fail[state] + model.root[chunk.word_at[at]] if weight is None else weight
-            sums[tuple(history)] = sums.get(tuple(history), 0) + 10 ** weight
-    ends = {}
-    for text, stop in zip(ask, chunk.stops[3:]):
-        words = text.split()
-        last = chunk.word_at[stop - 2] if words else model.start_state
-        weight = model.arcs[chunk.pair_at[stop - 1]]
-        ends[tuple(words[-1:])] = 10 ** (model.fail[last] + model.root[chunk.word_at[stop - 1]] if weight is None else weight)
-    assert set(sums) == {(), ("a",), ("b",), ("c",), ("unknown",)}
-    assert all(sums[h] + ends[h] == pytest.approx(1) for h in sums)
+    assert (total, distinct) == (20, 4)
+    model = scoring.Automaton(chunk, chunk.word_counts, chunk.pair_counts, chunk.triple_counts, total, distinct, (3.0, 2.0))
+    assert sum(model.first[s] < model.first[s + 1] for s in range(model.start + 1, len(model.fail))) > 5
+    # nothing follows the end of a text
+    end = chunk.word_at[-1]
+    ended = {end} | {s for s in range(model.start + 1, len(model.fail)) if model.fail_to[s] == end}
+    # the start's key among the pairs is no pair
+    for state in set(range(len(model.fail))) - ended - {model.start + 1 + chunk.start_at}:
+        # the root's weights give all words that are not in the chunk the share of one
+        assert sum(10 ** model.step(state, w)[1] for w in range(model.start)) == pytest.approx(1)
+
+
+def test_a_chunk_knows_which_triples_others_have():
+    import pyarrow as pa
+
+    texts = [f"{a} x y {b} shared words follow here {a}" for a in "abcd" for b in "abef"]
+    # a third is held out: what only such texts share must be asked for too
+    learn = np.arange(16) % 3 > 0
+    chunks = [scoring.Chunk(pa.array(texts[c]), learn[c]) for c in (slice(0, 3), slice(3, 16), slice(2, 4))]
+    for c in chunks:
+        c.find_triples()
+    asked = 0
+    for c in chunks:
+        others = [o for o in chunks if o is not c]
+        unsure = c.unsure(np.isin(c.pair_keys, np.concatenate([o.pair_keys for o in others])))
+        there = np.isin(c.triple_keys, np.concatenate([o.triple_keys for o in others]))
+        assert not (there & ~unsure).any()
+        asked += unsure.sum()
+    assert 0 < asked < sum(len(c.triple_keys) for c in chunks)
 
 
 def test_scores_of_awkward_rows(awkward, empty, spark):
