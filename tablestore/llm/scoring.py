@@ -129,7 +129,7 @@ class Automaton:
         known, seen = np.flatnonzero(known), np.flatnonzero(triple_counts > 0)
         states = np.concatenate([state[known], pair_state + chunk.first_pair[seen]])
         words = np.concatenate([word[known], chunk.triple_word[seen]])
-        order = np.lexsort((words, states))
+        order = np.argsort(states.astype(np.int64) * n_words + words)
         self.first = _as_array("q", np.searchsorted(states[order], np.arange(pair_state + len(pair_counts) + 1)))
         self.word = _as_array("i", words[order])
         self.weight = _as_array("d", np.log10(np.concatenate([below[known], weight[seen]])[order]))
@@ -138,25 +138,27 @@ class Automaton:
         self.fail_to = _as_array("i", np.concatenate([np.full(pair_state, self.ROOT), word]))
         self.root = _as_array("d", np.log10(p))
 
-    def step(self, state: int, word: int) -> tuple[int, float]:
-        """Follow failure arcs to a state that has an arc for the word, and that arc: the next state and the weights' sum."""
-        score = 0.0
-        while state >= 0:
-            low, high = self.first[state], self.first[state + 1]
-            if low < high:
-                arc = bisect_left(self.word, word, low, high)
-                if arc < high and self.word[arc] == word:
-                    return self.to[arc], score + self.weight[arc]
-            score += self.fail[state]
-            state = self.fail_to[state]
-        return word, score + self.root[word]
-
-    def traverse(self, words: list[int]) -> float:
-        """One pass from left to right: the state is carried, weights add up."""
-        state, score, step = self.start, 0.0, self.step
+    def traverse(self, words: list[int], state: int | None = None) -> float:
+        """One pass from left to right, from the start if no state is given: the state is carried, weights add up.
+
+        A word takes failure arcs up to a state that has an arc for it, and that arc.
+        """
+        first, arc_word, weight, to, fail, fail_to, root = self.first, self.word, self.weight, self.to, self.fail, self.fail_to, self.root
+        state, score = self.start if state is None else state, 0.0
         for word in words:
-            state, weight = step(state, word)
-            score += weight
+            while state >= 0:
+                low, high = first[state], first[state + 1]
+                if low < high:
+                    arc = low if arc_word[low] == word else bisect_left(arc_word, word, low, high)
+                    if arc < high and arc_word[arc] == word:
+                        score += weight[arc]
+                        state = to[arc]
+                        break
+                score += fail[state]
+                state = fail_to[state]
+            else:
+                score += root[word]
+                state = word
         return score
 
 

@@ -103,7 +103,7 @@ def test_a_states_arcs_add_up_to_one():
     # the start's key among the pairs is no pair
     for state in set(range(len(model.fail))) - ended - {model.start + 1 + chunk.start_at}:
         # the root's weights give all words that are not in the chunk the share of one
-        assert sum(10 ** model.step(state, w)[1] for w in range(model.start)) == pytest.approx(1)
+        assert sum(10 ** model.traverse([w], state) for w in range(model.start)) == pytest.approx(1)
 
 
 def test_a_chunk_knows_which_triples_others_have():
