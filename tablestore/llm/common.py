@@ -101,13 +101,13 @@ def parts_for(spark: SparkSession, total_bytes: int, each: int = CHUNK_BYTES) ->
     return max(shuffle_partitions(spark), -(-total_bytes // each), 1)
 
 
-def grid_parts(spark: SparkSession, total_bytes: int, block: int = 16 << 10, most: int = 256 << 20) -> int:
+def grid_parts(spark: SparkSession, total_bytes: int, block: int = 16 << 10, most: int = 256 << 20, least: int = CHUNK_BYTES) -> int:
     """Parts for an exchange in which every part sends a block to every part.
 
-    A part grows with the square root of the input, so that blocks stay near `block` bytes and their number in
-    proportion to the input, until a part holds `most` bytes, which a task must be able to hold.
+    A part grows with the square root of the input from `least` bytes on, so that blocks stay near `block` bytes and their
+    number in proportion to the input, until a part holds `most` bytes, which a task must be able to hold.
     """
-    return parts_for(spark, total_bytes, min(max(CHUNK_BYTES, isqrt(total_bytes * block)), most))
+    return parts_for(spark, total_bytes, min(max(least, isqrt(total_bytes * block)), most))
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):

@@ -34,6 +34,8 @@ PRIOR_WORDS = (100.0, 10.0)
 #: Keys of the text's end as a word, and of its start as a state; words hash with seed 0.
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 PAIR, TRIPLE = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xFF51AFD7ED558CCD)
+#: Bytes of text of a chunk at least: larger chunks repeat fewer n-grams of each other.
+LEAST_BYTES = 8 << 20
 BLOCK = "bucket int, chunk int, level int, data binary"
 
 
@@ -286,7 +288,7 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     # a task for each chunk and each range, whatever the session's number of partitions is
-    parts = grid_parts(spark, text_bytes(rows), block=64 << 10)
+    parts = grid_parts(spark, text_bytes(rows), block=64 << 10, least=LEAST_BYTES)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int")).repartitionById(parts, "chunk")
     asked = rows.groupBy("chunk").applyInArrow(_ask(parts), BLOCK).repartitionById(parts, "bucket")
     answers = asked.groupBy("bucket").applyInArrow(_answer, BLOCK)
