@@ -39,8 +39,8 @@ RANGE_KEYS = 250_000
 KEY_TEXT = 60
 #: Slots up to this number are broadcast; more are joined by shuffle.
 BROADCAST_SLOTS = 500_000
-RUN = "bits int, bucket long, keys binary, owners binary"
-HITS = "bits int, bucket long, keys binary"
+RUN = "bits int, bucket int, keys binary, owners binary"
+HITS = "bits int, bucket int, keys binary"
 
 
 class Windows:
@@ -81,7 +81,7 @@ def _ranges(keys: np.ndarray, owners: np.ndarray | None, bits: int) -> pa.Record
     edges = blocks.bucket_edges(keys, 1 << bits)
     full = np.flatnonzero(np.diff(edges))
     cut = [slice(edges[b], edges[b + 1]) for b in full]
-    columns = {"bits": pa.array([bits] * len(full), pa.int32()), "bucket": pa.array(full, pa.int64()), "keys": pa.array([blocks.squeeze_sorted(keys[c]) for c in cut], pa.binary())}
+    columns = {"bits": pa.array([bits] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "keys": pa.array([blocks.squeeze_sorted(keys[c]) for c in cut], pa.binary())}
     if owners is not None:
         columns["owners"] = pa.array([blocks.squeeze(owners[c]) for c in cut], pa.binary())
     return pa.RecordBatch.from_pydict(columns)
@@ -208,7 +208,7 @@ def _candidates(window: int, sample: int, buckets: int):
         full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
         cut = [slice(edges[b], edges[b + 1]) for b in full]
         return pa.table({
-            "bucket": pa.array(full, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(full), pa.int64()),
+            "bucket": pa.array(full, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(full), pa.int32()),
             "one": pa.array([blocks.squeeze_sorted(one[c]) for c in cut], pa.binary()), "two": pa.array([blocks.squeeze(two[c]) for c in cut], pa.binary()),
             "twice": pa.array([np.packbits(twice[c]).tobytes() for c in cut], pa.binary()),
         })
@@ -230,7 +230,7 @@ def _verify(part: pa.Table) -> pa.Table:
     order = np.lexsort((two, one, owner))
     one, two, owner = one[order], two[order], owner[order]
     who, cut = _split(owner)
-    return pa.table({"chunk": pa.array(who, pa.int64()), "one": pa.array([blocks.squeeze_sorted(one[c]) for c in cut], pa.binary()),
+    return pa.table({"chunk": pa.array(who, pa.int32()), "one": pa.array([blocks.squeeze_sorted(one[c]) for c in cut], pa.binary()),
                      "two": pa.array([blocks.squeeze(two[c]) for c in cut], pa.binary())})
 
 
@@ -337,7 +337,7 @@ class FingerprintIndex:
         """A run with one row for each range, from rows of the same ranges."""
         path = self._next("run-")
         parts = max(1, min(1 << bits, int(self.spark.conf.get("spark.sql.shuffle.partitions")))) if bits < 12 else 1 << bits
-        rows.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_merged(bits), RUN).write.mode("overwrite").parquet(path)
+        rows.repartitionById(parts, "bucket").groupBy("bucket").applyInArrow(_merged(bits), RUN).write.mode("overwrite").parquet(path)
         return path
 
     def _rows(self, docs: DataFrame, id: str, text: str, row) -> DataFrame:
@@ -356,7 +356,7 @@ class FingerprintIndex:
         mine, history = self._read([new], RUN), self._read(old, RUN)
         finest = self._finest(mine, history)
         parts = max(1, min(1 << finest, 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")))) if finest < 12 else 1 << finest
-        mine, history = (x.mapInArrow(_finer(finest), RUN).repartition(parts, "bucket") for x in (mine, history))
+        mine, history = (x.mapInArrow(_finer(finest), RUN).repartitionById(parts, "bucket") for x in (mine, history))
         path = self._next("hits-")
         mine.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(_hits(finest), HITS).write.mode("overwrite").parquet(path)
         if len(self.runs()) > self.max_runs:
@@ -395,19 +395,19 @@ class FingerprintIndex:
         wanted = [p for p in self._named("hits-") if numbers is None or int(p.rpartition("-")[2]) in numbers]
         finest = self._finest(self._read(self.runs(), RUN), self._read(wanted, HITS))
         parts = max(1, min(1 << finest, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))) if finest < 12 else 1 << finest
-        runs, hits = self._read(self.runs(), RUN, finest).repartition(parts, "bucket"), self._read(wanted, HITS, finest).repartition(parts, "bucket")
+        runs, hits = self._read(self.runs(), RUN, finest).repartitionById(parts, "bucket"), self._read(wanted, HITS, finest).repartitionById(parts, "bucket")
         found = checkpoint(runs.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_owners, "slot long, key long"))
         slots = checkpoint(found.select("slot").distinct(), self.SLOTS)
         slots = F.broadcast(slots) if slots.count() <= BROADCAST_SLOTS else slots
         calm = whole.where("new").join(slots, "slot", "left_anti").select("text", "row").mapInArrow(_as_they_are(self.window, self.sample, with_text), out)
         owning = whole.join(slots, "slot", "left_semi")
         parts = min(grid_parts(spark, text_bytes(owning)), self.SLOTS)
-        owning = owning.select((F.col("slot") % parts).alias("chunk"), "text", "row", "new").repartition(parts, "chunk")
-        found = found.select((F.col("slot") % parts).alias("chunk"), "key").repartition(parts, "chunk")
+        owning = owning.select((F.col("slot") % parts).cast("int").alias("chunk"), "text", "row", "new").repartitionById(parts, "chunk")
+        found = found.select((F.col("slot") % parts).cast("int").alias("chunk"), "key").repartitionById(parts, "chunk")
         asked = owning.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
-            _candidates(self.window, self.sample, parts), "bucket int, chunk long, one binary, two binary, twice binary")
-        verified = asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_verify, "chunk long, one binary, two binary")
-        judged = owning.groupBy("chunk").cogroup(verified.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(_remove(self.window, self.sample, with_text), out)
+            _candidates(self.window, self.sample, parts), "bucket int, chunk int, one binary, two binary, twice binary")
+        verified = asked.repartitionById(parts, "bucket").groupBy("bucket").applyInArrow(_verify, "chunk int, one binary, two binary")
+        judged = owning.groupBy("chunk").cogroup(verified.repartitionById(parts, "chunk").groupBy("chunk")).applyInArrow(_remove(self.window, self.sample, with_text), out)
         return judged.unionByName(calm)
 
 
