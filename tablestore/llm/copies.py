@@ -16,6 +16,7 @@ from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,13 +204,54 @@ def _still_unlike(similarity: float):
     return run
 
 
+def _first_alike(similarity: float):
+    """Of some texts of a root, those that reach the similarity with an earlier one of some others, and the first such."""
+    order = [("id", "ascending"), ("digest", "ascending")]
+
+    def run(rows: pa.Table, others: pa.Table) -> pa.Table:
+        if not rows.num_rows or not others.num_rows:
+            return pa.table({"root": rows["root"][:0], "digest": rows["digest"][:0], "of_id": others["id"][:0], "of": others["digest"][:0]})
+        both = pa.concat_tables([rows.select(["id", "digest"]), others.select(["id", "digest"])])
+        place = np.empty(both.num_rows, np.int64)
+        # equal digests are one text, which is not before itself
+        sorted_ = pc.sort_indices(both, sort_keys=order)
+        digest = both["digest"].take(sorted_).combine_chunks()
+        place[np.asarray(sorted_)] = np.append(0, np.cumsum(np.asarray(pc.not_equal(digest[1:], digest[:-1])).astype(np.int64)))
+        mine, theirs = place[:rows.num_rows], place[rows.num_rows:]
+        found = _alike(_lists(rows["shingles"]), _lists(others["shingles"]), similarity) & (theirs[None, :] < mine[:, None])
+        hit = np.flatnonzero(found.any(1))
+        best = pa.array(np.where(found[hit], theirs[None, :], both.num_rows).argmin(1) if len(hit) else np.zeros(0, np.int64))
+        own = rows.take(pa.array(hit))
+        return pa.table({"root": own["root"], "digest": own["digest"], "of_id": others["id"].take(best), "of": others["digest"].take(best)})
+    return run
+
+
+def _in_cells(rows: DataFrame, others: DataFrame, key: list[str], each: int, by: str):
+    """Rows and others of the same key, cogrouped in cells of about `each` times `each`, so that each pair meets in one cell."""
+    # a table may meet itself: other columns, of the same names
+    others = others.select(*(F.col(c).alias(c) for c in others.columns))
+    key_of = lambda part, salts: part.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias(salts))
+    sizes = checkpoint(key_of(rows, "salts").join(key_of(others, "others"), key), 0)
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_GROUPS else sizes
+    own, other = (F.pmod(F.xxhash64(by), n).cast("int") for n in ("salts", "others"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = rows.join(sizes, key).withColumn("salt", own).withColumn("other", every("others"))
+    b = others.join(sizes, key).withColumn("other", other).withColumn("salt", every("salts"))
+    return a.drop("salts", "others").groupBy(*key, "salt", "other").cogroup(b.drop("salts", "others").groupBy(*key, "salt", "other"))
+
+
 def representatives(left: DataFrame, similarity: float) -> DataFrame:
     """(id, digest) of the texts to keep of (root, id, digest, shingles), see keep_one.
 
     A round compares the next texts of each root with each other, and what is left of the root, in parts, with those
-    of them that it keeps. Most roots need one round, as do many copies of one text.
+    of them that it keeps. Most roots need one round, as do many copies of one text. What is left of the others is
+    compared with itself, in cells: a text with no similar one before it stays, one whose first similar text stays goes, and so
+    does one that is similar to any that stays. Only the others need another round, so that the number of rounds follows the longest
+    chain of similar texts, not the number of texts of a root.
     """
     kind = ", ".join(f"{n} {t}" for n, t in left.dtypes)
+    types = dict(left.dtypes)
+    pairs = f"root {types['root']}, digest string, of_id {types['id']}, of string"
     by_root = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "digest")
     next_ = lambda rows: rows.withColumn("n", F.row_number().over(by_root)).where(F.col("n") <= ROUND_TEXTS)
     kept = None
@@ -229,6 +271,20 @@ def representatives(left: DataFrame, similarity: float) -> DataFrame:
         its = taken.join(more, "root").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
         parts = rest.select(*left.columns, "salt").groupBy("root", "salt").cogroup(its.select(*left.columns, "salt").groupBy("root", "salt"))
         left = checkpoint(parts.applyInArrow(_still_unlike(similarity), kind))
+        # the first similar text before each, of those left
+        firsts = _in_cells(left, left, ["root"], CHUNK_TEXTS, "digest").applyInArrow(_first_alike(similarity), pairs)
+        before = F.struct(F.col("of_id").isNull().alias("last"), "of_id", "of")
+        firsts = checkpoint(firsts.groupBy("root", "digest").agg(F.min(before)["of"].alias("of")), n)
+        free = left.join(firsts, ["root", "digest"], "left_anti")
+        kept = kept.unionByName(checkpoint(free.select("id", "digest"), n))
+        # of the others, those whose first similar text does not stay
+        open_ = firsts.join(firsts.select("root", F.col("digest").alias("of")), ["root", "of"], "left_semi").select("root", "digest")
+        left = checkpoint(left.join(open_, ["root", "digest"], "left_semi"))
+        if left.isEmpty():
+            return kept
+        stay = free.join(left.select("root").distinct(), "root", "left_semi")
+        gone = checkpoint(_in_cells(left, stay, ["root"], CHUNK_TEXTS, "digest").applyInArrow(_first_alike(similarity), pairs).select("root", "digest").distinct(), n)
+        left = checkpoint(left.join(gone, ["root", "digest"], "left_anti"))
 
 
 def _named(id: Column) -> Column:
