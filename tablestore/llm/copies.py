@@ -5,8 +5,8 @@ bits can find. The fingerprints here have 256 bits, over pairs of words, of whic
 have nothing to do with each other in 128, give or take 8. So a wide budget makes no chance links, however many texts
 there are. Fingerprints meet in groups that agree in a few of their bits; several selections of bits, whose
 number and length follow from the number of fingerprints, find the same share of the pairs at every size. Each task joins the tries
-of its groups with themselves, as for narrow fingerprints. In a group of many members, which only copies of one text can
-fill, each member is first compared with a few pivots of the group; those that none is near to are grouped again by more bits.
+of its groups with themselves, as for narrow fingerprints. In a group of many members, each is first compared with a few pivots
+of the group; what is near a pivot is linked to it, and only what the distances from pivots leave open is compared, in cells.
 What is linked is then compared by its whole sets of shingles.
 """
 
@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablestore.llm import blocks
-from tablestore.llm.common import checkpoint, fresh, quoted, release_memory, shuffle_partitions, text_slices
+from tablestore.llm.common import FILE_ROWS, checkpoint, fresh, quoted, release_memory, shuffle_partitions, text_slices
 from tablestore.llm.components import connected
-from tablestore.llm.neardup import BROADCAST_GROUPS, BROADCAST_ROWS, TASK_ROWS, _signed, _trie_task
+from tablestore.llm.neardup import BROADCAST_GROUPS, BROADCAST_ROWS, TASK_ROWS, _signed, _trie_task, join_labels
 
 #: Words of 64 bits of a fingerprint, the words of its shingles, and the budget of differing bits.
 WORDS, SHINGLE, BUDGET = 4, 2, 40
@@ -34,8 +34,8 @@ ODD = np.random.default_rng(11).integers(0, 1 << 63, WORDS, dtype=np.uint64) * n
 AGREE, MISSED = 0.905, 0.01
 #: Bits of a group's key: at least so many, and so many less than the digits of the number of fingerprints.
 KEY_BITS, LESS = 16, 3
-#: A group of more members is compared with this number of pivots, then divided by more bits in several ways.
-HOT_GROUP, PIVOTS, MORE_BITS, WAYS, LEVELS = 1000, 16, 8, 4, 3
+#: The members of a group of more are compared with this number of pivots, as often as there are levels.
+HOT_GROUP, PIVOTS, LEVELS = 1000, 16, 3
 #: Texts of a component that are compared with each other in a round, and others that are compared with them in one task.
 ROUND_TEXTS, CHUNK_TEXTS = 256, 512
 
@@ -99,8 +99,8 @@ def selections(bits: int, number: int, seed: int) -> list[list[int]]:
     return out
 
 
-def _keys(before: Column, masks: list[list[int]]) -> Column:
-    return F.array(*(F.xxhash64(before, F.lit(i), *(F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(COLUMNS, mask))) for i, mask in enumerate(masks)))
+def _keys(masks: list[list[int]]) -> Column:
+    return F.array(*(F.xxhash64(F.lit(0), F.lit(i), *(F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(COLUMNS, mask))) for i, mask in enumerate(masks)))
 
 
 def _far(other: Column) -> Column:
@@ -108,15 +108,60 @@ def _far(other: Column) -> Column:
     return sum((F.bit_count(F.col(c).bitwiseXOR(other[c])) for c in COLUMNS), F.lit(0))
 
 
+def _labelled(budget: int):
+    """Groups' pivots with the least number of a pivot that each is connected with, by pivots within the budget."""
+    kind = pa.list_(pa.struct([("node", pa.int64()), *((c, pa.int64()) for c in COLUMNS), ("label", pa.int32())]))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for own in b.column("pivots").to_pylist():
+                fp = np.array([[p[c] for c in COLUMNS] for p in own], np.int64).view(np.uint64)
+                labels = np.arange(len(own))
+                join_labels(labels, *np.nonzero(_distances(fp, fp) <= budget))
+                out.append([p | {"label": int(x)} for p, x in zip(own, labels)])
+            yield pa.RecordBatch.from_arrays([b.column("group"), pa.array(out, kind)], names=["group", "pivots"])
+    return run
+
+
+def _distances(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(mine), len(theirs)), np.int16)
+    for i in range(WORDS):
+        out += np.bitwise_count(mine[:, i, None] ^ theirs[None, :, i])
+    return out
+
+
+def _near(budget: int):
+    """Links (u, v) of the nodes of two tables that are within the budget: a spanning set."""
+    def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        fps = [np.stack([np.asarray(t[c]) for c in COLUMNS], 1).view(np.uint64) for t in (mine, theirs)]
+        i, j = np.nonzero(_distances(*fps) <= budget)
+        distinct, at = np.unique(np.concatenate([np.asarray(t["node"]) for t in (mine, theirs)]), return_inverse=True)
+        labels = np.arange(len(distinct))
+        join_labels(labels, at[i], at[mine.num_rows + j])
+        moved = np.flatnonzero(labels != np.arange(len(labels)))
+        return pa.table({"u": distinct[moved], "v": distinct[labels[moved]]})
+    return run
+
+
 def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(u, v) for distinct fingerprints (node and its words): enough pairs within the budget to connect what is linked."""
+    """(u, v) for distinct fingerprints (node and its words): enough pairs to connect all within the budget that share a group.
+
+    A crowded group has pivots, some of its members. Members within the budget of one are linked to it and need
+    not meet each other. A member is within the budget of one linked to a pivot only if it is within twice the budget of
+    the pivot: such outsiders meet all members linked to that pivot, or to one connected with it. Members near no pivot meet in the
+    same way with new pivots, at last all with each other.
+    """
     n = max(2, prints.count())
     bits = max(KEY_BITS, ceil(log2(n)) - LESS)
     number = ceil(log(MISSED) / log(1 - AGREE ** bits))
-    rows = prints.withColumn("group", F.explode(_keys(F.lit(0), selections(bits, number, 1))))
-    spark, cold, out = prints.sparkSession, None, None
-    for level in range(LEVELS):
-        hot = checkpoint(rows.groupBy("group").count().where(F.col("count") > HOT_GROUP).select("group"), n * number // HOT_GROUP)
+    rows = prints.withColumn("group", F.explode(_keys(selections(bits, number, 1))))
+    spark, cold, out = prints.sparkSession, None, []
+    meet = lambda a, b, key: _in_cells(a.select(*key, "node", *COLUMNS), b.select(*key, "node", *COLUMNS), key, HOT_GROUP, "node").applyInArrow(_near(budget), "u long, v long")
+    for level in range(LEVELS + 1):
+        hot = rows.groupBy("group").count().where(F.col("count") > HOT_GROUP).select("group")
+        # counted by all tasks, written by few
+        hot = checkpoint(hot.repartition(-(-n * number // HOT_GROUP // FILE_ROWS) or 1))
         many = hot.count()
         if not many:
             break
@@ -124,22 +169,38 @@ def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
         calm = rows.join(few, "group", "left_anti")
         cold = calm if cold is None else cold.unionByName(calm)
         crowd = checkpoint(rows.join(few, "group", "left_semi"))
+        if level == LEVELS:
+            out.append(meet(crowd, crowd, ["group"]))
+            rows = None
+            break
         # pivots are members by a hash of the node: a few of each group, from one aggregation
         slot = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(PIVOTS))
         pivots = crowd.groupBy("group").agg(*(F.min(F.when(slot == i, F.struct("node", *COLUMNS))).alias(f"p{i}") for i in range(PIVOTS)))
-        pivots = checkpoint(pivots.select("group", F.array_compact(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("pivots")), PIVOTS * many)
-        nearest = F.array_min(F.transform("pivots", lambda p: F.struct(_far(p).alias("far"), p["node"].alias("node"))))
-        met = crowd.join(F.broadcast(pivots) if many <= BROADCAST_GROUPS // PIVOTS else pivots, "group").withColumn("best", nearest).drop("pivots")
-        # a pivot meets itself, and goes on
-        met = checkpoint(met.withColumn("close", (F.col("best.far") <= budget) & (F.col("best.node") != F.col("node"))))
-        found = met.where("close").select(F.col("node").alias("u"), F.col("best.node").alias("v"))
-        out = found if out is None else out.unionByName(found)
-        left = met.where("not close").drop("best", "close")
-        rows = left.withColumn("group", F.explode(_keys(F.col("group"), selections(MORE_BITS, WAYS, 2 + level))))
-    rows = rows if cold is None else cold.unionByName(rows)
+        pivots = pivots.select("group", F.array_compact(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("pivots"))
+        words = ", ".join(f"{c}: bigint" for c in COLUMNS)
+        pivots = checkpoint(pivots.mapInArrow(_labelled(budget), f"group long, pivots array<struct<node: bigint, {words}, label: int>>"), PIVOTS * many)
+        far = F.transform("pivots", lambda p: F.struct(_far(p).alias("far"), p["node"].alias("node"), p["label"].alias("label")))
+        met = crowd.join(F.broadcast(pivots) if many <= BROADCAST_GROUPS // PIVOTS else pivots, "group").withColumn("far", far).drop("pivots")
+        met = met.withColumn("best", F.array_min("far")).withColumn("home", F.when(F.col("best.far") <= budget, F.col("best.label")))
+        around = F.filter("far", lambda p: (p["far"] <= 2 * budget) & (F.col("home").isNull() | (p["label"] < F.col("home"))))
+        met = checkpoint(met.withColumn("around", F.array_distinct(F.transform(around, lambda p: p["label"]))).withColumn("pivot", F.col("best.node")).drop("far", "best"))
+        out.append(met.where("home is not null").select(F.col("node").alias("u"), F.col("pivot").alias("v")))
+        two = pivots.select(F.explode("pivots").alias("p"), "pivots")
+        distance = lambda q: sum((F.bit_count(F.col("p")[c].bitwiseXOR(q[c])) for c in COLUMNS), F.lit(0))
+        two = two.select(F.col("p.node").alias("u"), F.explode(F.filter("pivots", lambda q: distance(q) <= budget)).alias("q"))
+        out.append(two.select("u", F.col("q.node").alias("v")))
+        outsiders = met.select("group", F.explode("around").alias("label"), "node", *COLUMNS)
+        out.append(meet(met.where("home is not null").withColumn("label", F.col("home")), outsiders, ["group", "label"]))
+        rows = met.where("home is null").select(*crowd.columns)
+    if rows is not None:
+        rows = rows if cold is None else cold.unionByName(rows)
+    else:
+        rows = cold
     parts = max(shuffle_partitions(spark), -(-n * number // TASK_ROWS))
     found = rows.repartition(parts, "group").mapInArrow(_trie_task(budget, COLUMNS, "node"), "u long, v long")
-    return found if out is None else found.unionByName(out)
+    for more in out:
+        found = found.unionByName(more)
+    return found
 
 
 def _sets(texts: pa.Array, words: int) -> pa.Array:
