@@ -129,7 +129,9 @@ class Automaton:
         known, seen = np.flatnonzero(known), np.flatnonzero(triple_counts > 0)
         states = np.concatenate([state[known], pair_state + chunk.first_pair[seen]])
         words = np.concatenate([word[known], chunk.triple_word[seen]])
-        order = np.argsort(states.astype(np.int64) * n_words + words)
+        keys = states.astype(np.int64) * n_words + words
+        order = np.argsort(keys)
+        self.keys = keys[order]
         self.first = _as_array("q", np.searchsorted(states[order], np.arange(pair_state + len(pair_counts) + 1)))
         self.word = _as_array("i", words[order])
         self.weight = _as_array("d", np.log10(np.concatenate([below[known], weight[seen]])[order]))
@@ -138,6 +140,36 @@ class Automaton:
         self.fail_to = _as_array("i", np.concatenate([np.full(pair_state, self.ROOT), word]))
         self.root = _as_array("d", np.log10(p))
 
+    def traverse_all(self, chunk: Chunk, pair_counts: np.ndarray) -> np.ndarray:
+        """Each position's weight on the passes over all of the chunk's texts, as `traverse` adds them up.
+
+        A pass is in the state of the last two words where that pair is known, else of the last word, whatever came before. So
+        all positions are taken at once: each looks for its arc, and those that have none take their failure arcs.
+        """
+        weight, to, fail, root = (np.frombuffer(x, kind) for x, kind in ((self.weight, "d"), (self.to, "i"), (self.fail, "d"), (self.root, "d")))
+        fail_to = np.frombuffer(self.fail_to, "i")
+        word, n_words = chunk.word_at, self.start
+        after = np.where(pair_counts[chunk.pair_at] > 0, n_words + 1 + chunk.pair_at, word)
+        state = np.empty_like(after)
+        state[1:] = after[:-1]
+        state[chunk.begins] = n_words
+        out, open_ = np.zeros(len(word)), np.arange(len(word))
+        while len(open_):
+            key = state.astype(np.int64) * n_words + word[open_]
+            arc = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+            hit = self.keys[arc] == key if len(self.keys) else np.zeros(len(key), bool)
+            arc, done = arc[hit], open_[hit]
+            if (to[arc] != after[done]).any():
+                raise ValueError("an arc leads to another state than its last words'")
+            out[done] += weight[arc]
+            open_, state = open_[~hit], state[~hit]
+            out[open_] += fail[state]
+            state = fail_to[state]
+            lost = state == self.ROOT
+            out[open_[lost]] += root[word[open_[lost]]]
+            open_, state = open_[~lost], state[~lost]
+        return out
+
     def traverse(self, words: list[int], state: int | None = None) -> float:
         """One pass from left to right, from the start if no state is given: the state is carried, weights add up.
 
@@ -263,14 +295,9 @@ def _score(priors: tuple[float, float]):
         if sums:
             triple_counts[unsure] = np.concatenate(sums)
         model = Automaton(chunk, word_counts, pair_counts, triple_counts, total, distinct, priors)
-        n_known, base, scores = [], [], []
-        known = np.append(0, np.cumsum(word_counts[chunk.word_at] > 0))
         logs = np.log10((word_counts + 1.0) / (total + 1.0 * (distinct + 1)))
-        for stop, size in zip(chunk.stops.tolist(), chunk.tokens.tolist()):
-            words = chunk.word_at[stop - size:stop]
-            n_known.append(known[stop] - known[stop - size])
-            base.append(logs[words].sum())
-            scores.append(model.traverse(words.tolist()))
+        # every text has a token, its end
+        n_known, base, scores = (np.add.reduceat(x, chunk.begins) for x in ((word_counts > 0)[chunk.word_at].astype(np.int64), logs[chunk.word_at], model.traverse_all(chunk, pair_counts)))
         return pa.table({"id": part["id"], "held_out": pc.invert(part["learn"]), "n_tokens": pa.array(chunk.tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
                          "train_tokens": pa.array([total] * len(chunk.tokens), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64())})
     return score
